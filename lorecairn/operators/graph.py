@@ -84,8 +84,7 @@ def related_documents(
 ) -> DataFrame:
     """``(key, related_key, related_title)`` for all documents or for a key table."""
     pairs = related_pairs(links, link_type, legacy_precedence).select("key", "related_key")
-    if keys is not None:
-        pairs = pairs.join(keys.select("key"), "key", "left_semi")
+    pairs = pairs.join((docs if keys is None else keys).select("key"), "key", "left_semi")
     if distinct:
         pairs = pairs.distinct()
     titles = docs.select(F.col("key").alias("related_key"), F.col("title").alias("related_title"))

@@ -96,6 +96,11 @@ def _best_of_batch(
     return pd.concat(parts, ignore_index=True)
 
 
+def _emit(kept: pd.DataFrame) -> pd.DataFrame:
+    # An empty column has no text type of its own, and Arrow output needs one.
+    return kept.assign(key=kept["key"].astype(object))
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.vstack(vectors.to_numpy()).astype(np.float64)
 
@@ -180,7 +185,7 @@ def _scan(vectors: DataFrame, rows: list, k: int, metric: str) -> DataFrame:
                 )
                 kept = found if kept is None else _keep_best(pd.concat([kept, found]), k)
         if kept is not None:
-            yield kept
+            yield _emit(kept)
 
     comparable = vectors.where(F.size("embedding").isin(*blocks)) if blocks else vectors.limit(0)
     return comparable.mapInPandas(best, _RESULT)
@@ -216,7 +221,7 @@ def _blocks(
 
     def best(documents: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if documents.empty or wanted.empty:
-            return pd.DataFrame({"query_id": [], "key": [], "score": []})
+            return _emit(pd.DataFrame({"query_id": [], "key": [], "score": []}))
         ids = wanted["query_id"].to_numpy()
         matrix, floors = _matrix(wanted["vector"]), _floors(wanted["min_score"])
         kept = None
@@ -226,7 +231,7 @@ def _blocks(
                 part["key"].to_numpy(), _matrix(part["embedding"]), ids, matrix, floors, k, metric
             )
             kept = found if kept is None else _keep_best(pd.concat([kept, found]), k)
-        return kept
+        return _emit(kept)
 
     pair = ["db", "rb", "size"]
     return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(best, _RESULT)
