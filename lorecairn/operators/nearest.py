@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from ..functions.vectors import hash_embedding
-from ..session import bounded_rows, spread
+from ..session import bounded_rows
 from .ranking import (
     attach_documents,
     clamp_results,
@@ -246,7 +246,7 @@ def nearest_l2(docs: DataFrame, requests: DataFrame, inline: int | None = None)
 def embed_documents(docs: DataFrame) -> DataFrame:
     """Replace the embedding by that of title, summary and content."""
     body = text.embedding_text(F.col("title"), F.col("summary"), F.col("content"))
-    return spread(docs, "key").withColumn("embedding", hash_embedding(body))
+    return docs.withColumn("embedding", hash_embedding(body))
 
 
 def semantic_search(docs: DataFrame, requests: DataFrame, inline: int | None = None) -> DataFrame:

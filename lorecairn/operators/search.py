@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..functions import text
 from ..functions.fuzzy import ratio
-from ..session import bounded_rows, spread
+from ..session import bounded_rows
 from . import matching
 from .ranking import EPSILON, attach_documents, clamp_results, largest, top_per_request
 
@@ -101,7 +101,7 @@ def _finish(partial: DataFrame) -> DataFrame:
     total = F.col("short") + _content_score(F.col("content"), F.col("terms"))
     # Exploding a one-element list scores every row once; a plain filter would
     # be merged with the projection and score it twice.
-    passing = F.filter(F.array(total), lambda t: (t >= F.col("needed")) & (t > 0))
+    passing = F.filter(F.array(total), lambda t: t >= F.col("needed"))
     return partial.select(
         "query_id", "key", "max_results", "terms", F.explode(passing).alias("tenths")
     ).select(
@@ -117,9 +117,9 @@ def smart_search(docs: DataFrame, requests: DataFrame, inline: int | None = None
 
     ``requests`` has query_id, query, max_results and min_score.  Every expanded
     term scores per field (title 1.0, summary 0.8, tags 0.7, content 0.5); the
-    score is the mean over terms and fields.  A result matches some term.
+    score is the mean over terms and fields.  A request without terms has no
+    results.
     """
-    docs = spread(docs, "key")
     prepared = _search_requests(requests)
     rows = _inline(prepared, inline)
     if rows is not None:
@@ -179,7 +179,7 @@ def _smart_join(docs: DataFrame, requests: DataFrame) -> tuple[int, DataFrame]:
     # With a threshold above what content alone can give, some term must occur
     # in a short field, and the long contents need not be indexed at all.
     content_alone = CONTENT / (10.0 * FIELDS)
-    short_only = bounds["low"] - EPSILON > content_alone
+    short_only = bounds["low"] is not None and bounds["low"] - EPSILON > content_alone
     fields = docs.select(
         "key", "title", "summary", F.array_join("tags", "\n").alias("tag_text"), "content"
     )
@@ -206,7 +206,18 @@ def _smart_join(docs: DataFrame, requests: DataFrame) -> tuple[int, DataFrame]:
         .where(F.col("position") <= F.col("prefix"))
         .select("query_id", "term")
     )
-    candidates = matches.join(rare, "term").select("query_id", "key").distinct()
+    candidates = matches.join(rare, "term").select("query_id", "key")
+    k = int(bounds["k"] or 0)
+    if bounds["low"] is not None and bounds["low"] <= EPSILON:
+        # Documents without any match pass too.  They rank last, by key, so the
+        # first k keys of the table hold all of them a request can still take.
+        first = docs.select("key").orderBy("key").limit(k).agg(F.collect_list("key")).scalar()
+        candidates = candidates.unionByName(
+            requests.where(F.col("min_score") <= EPSILON).select(
+                "query_id", F.explode(first).alias("key")
+            )
+        )
+    candidates = candidates.distinct()
     short = F.transform(F.array(_short_fields()), lambda f: _short_score(f, F.col("terms")))[0]
     # The short fields decide which pairs fetch the long content at all.
     partial = (
@@ -215,7 +226,7 @@ def _smart_join(docs: DataFrame, requests: DataFrame) -> tuple[int, DataFrame]:
         .select("query_id", "key", "max_results", "terms", "needed", short.alias("short"))
         .where(_in_reach())
     )
-    return int(bounds["k"] or 0), _finish(partial.join(docs.select("key", "content"), "key"))
+    return k, _finish(partial.join(docs.select("key", "content"), "key"))
 
 
 # --- full-text search --------------------------------------------------------
@@ -278,7 +289,7 @@ def fulltext_matches(
     """All ``(query_id, key, max_results)`` whose words satisfy the request."""
     prepared = _text_requests(requests)
     rows = _inline(prepared, inline)
-    searched = spread(docs, "key").where(F.col(column).isNotNull())
+    searched = docs.where(F.col(column).isNotNull())
     if rows is not None:
         return _fulltext_scan(searched, rows, column)
     return _fulltext_join(searched, prepared, column)
@@ -473,7 +484,7 @@ def fuzzy_search(docs: DataFrame, requests: DataFrame, inline: int | None = None
     """
     prepared = _fuzzy_requests(requests).withColumn("query_size", F.length("cleaned"))
     searched = F.concat(F.col("title"), F.lit(" "), F.col("content"))
-    sized = spread(docs, "key").withColumn("size", F.length(searched))
+    sized = docs.withColumn("size", F.length(searched))
     # No request can accept a document longer than the loosest of them does.
     bounds = prepared.agg(
         F.max("max_results").alias("k"),
@@ -481,18 +492,17 @@ def fuzzy_search(docs: DataFrame, requests: DataFrame, inline: int | None = None
     ).first()
     if bounds["longest"] is not None:
         sized = sized.where(F.col("size") <= bounds["longest"] + 1.0)
-    wanted = prepared.select("query_id", F.explode("terms").alias("term"))
     fits = _length_bound(F.col("size"), F.col("query_size")) >= F.col("min_score") - EPSILON
-    sizes = prepared.select("query_id", "query_size", "min_score")
+    wanted = prepared.select(
+        "query_id", "query_size", "min_score", F.explode("terms").alias("term")
+    )
     matches = matching.term_matches(sized, wanted, ["title", "content"], inline)
     candidates = (
-        matches.join(wanted, "term")
-        .select("query_id", "key")
-        .distinct()
-        .join(sized.select("key", "size"), "key")
-        .join(sizes, "query_id")
+        matches.join(sized.select("key", "size"), "key")
+        .join(wanted, "term")
         .where(fits)
         .select("query_id", "key")
+        .distinct()
     )
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = sized.select("key", text.searchable_text(F.col("title"), F.col("content")).alias("text"))
@@ -526,7 +536,7 @@ def typo_matches(
     ).where(F.size("terms") > 0)
     wanted = prepared.select("query_id", F.explode("terms").alias("term"))
     body = F.concat(F.col("title"), F.lit(" "), F.col("content"))
-    postings = spread(docs, "key").select(
+    postings = docs.select(
         "key", F.explode(F.array_distinct(text.tokens(body))).alias("word")
     )
     vocabulary = postings.select("word").distinct()

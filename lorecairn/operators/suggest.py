@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
-from ..session import spread
 from . import matching
 from .ranking import largest, top_per_request
 
@@ -57,13 +56,13 @@ def suggest_terms(docs: DataFrame, requests: DataFrame) -> DataFrame:
     from_tags = matching.prefix_matches(
         tags.withColumn("word", F.lower("term")), typed
     ).select("query_id", "max_results", "term", F.lit("tag").alias("source"), "uses")
-    # Every blank request gets the same few tags: k rows, taken before the join.
-    best_tags = tags.orderBy(F.desc("uses"), "term").limit(k).withColumn("blank", F.lit(True))
+    # Every blank request gets the same k tags, carried as one short list.
+    best = tags.orderBy(F.desc("uses"), "term").limit(k)
+    best_tags = best.agg(F.collect_list(F.struct("term", "uses"))).scalar()
     for_blank = (
         asked.where("prefix = ''")
-        .withColumn("blank", F.lit(True))
-        .join(F.broadcast(best_tags), "blank")
-        .select("query_id", "max_results", "term", F.lit("tag").alias("source"), "uses")
+        .select("query_id", "max_results", F.explode(best_tags).alias("best"))
+        .select("query_id", "max_results", "best.term", F.lit("tag").alias("source"), "best.uses")
     )
     found = from_titles.unionByName(from_tags).unionByName(for_blank)
     order = [F.desc("uses"), F.asc("term"), F.asc("source")]
@@ -80,7 +79,6 @@ def related_terms(
     A document counts when its content or title contains the term or a tag
     equals it.
     """
-    docs = spread(docs, "key")
     small = matching.inline_terms(terms, inline)
     title_and_content = F.array_union(
         text.related_words(F.col("content")), text.related_words(F.col("title"))

@@ -55,13 +55,14 @@ def bounded_rows(df: DataFrame, limit: int) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Spread a scan with too few splits over all cores, by the hash of ``by``.
+def spread(scan: DataFrame, *by: str) -> DataFrame:
+    """Spread a file scan with too few splits over all cores, by the hash of ``by``.
 
     A table stored in many files already has a task per split and is left as
     it is; only a table that would keep most cores idle pays for the exchange.
+    ``scan`` must be a plain read: counting its splits runs nothing.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *by)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *by)

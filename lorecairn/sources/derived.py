@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..session import spread
 
 # Declared types of the columns read; nothing is inferred.
 _RAW = {
@@ -35,7 +36,7 @@ def _two_digits(number: Column) -> Column:
 
 def kb_documents(spark: SparkSession, folder: str, embedded: bool = False) -> DataFrame:
     """One document per documents row; the vectors are joined on request only."""
-    docs = raw(spark, folder, "documents")
+    docs = spread(raw(spark, folder, "documents"), "doc_id")
     number = F.col("doc_id")
     created = F.concat(
         F.lit("2024-01-"),

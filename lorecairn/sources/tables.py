@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import DOCUMENTS, RELATIONSHIPS, TOPICS
+from ..session import spread
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DOCUMENTS).parquet(path)
+    return spread(spark.read.schema(DOCUMENTS).parquet(path), "key")
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:

@@ -72,6 +72,16 @@ def test_both_ways_agree_on_real_requests(spark, folder, low):
     assert rows(inlined) == rows(search.smart_search(docs, asked, inline=0))
 
 
+@pytest.mark.parametrize("inline", [None, 0])
+def test_threshold_zero_lets_documents_without_a_match_pass(spark, docs, inline):
+    asked = requests(spark, ("needle", 4, 0.0), ("absent", 2, 0.0), ("the", 5, 0.0))
+    got = rows(search.smart_search(docs, asked, inline).select("query_id", "rank", "key", "score"))
+    assert got == [
+        (1, 1, "f", 0.125), (1, 2, "a", 0.0), (1, 3, "b", 0.0), (1, 4, "c", 0.0),
+        (2, 1, "a", 0.0), (2, 2, "b", 0.0),
+    ]
+
+
 def test_term_matches_finds_terms_inside_long_words_and_long_terms(spark, docs):
     long_term = "z" * 70
     terms = spark.createDataFrame([("needle",), ("zneedlez",), (long_term,), ("z" * 301,), ("ink",)], "term string")
