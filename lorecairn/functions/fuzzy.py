@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType
 
 
 @F.pandas_udf(DoubleType())
-def ratio(texts: pd.Series, queries: pd.Series) -> pd.Series:
+def _ratio(texts: pd.Series, queries: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of text and query, in this argument order."""
     # The matcher indexes its second sequence, so it is set once per distinct query.
     matcher = SequenceMatcher(None)
@@ -21,3 +21,7 @@ def ratio(texts: pd.Series, queries: pd.Series) -> pd.Series:
             matcher.set_seq1(value)
             scores.at[row] = matcher.ratio()
     return scores
+
+
+#: Marked so that a filter on the score is never merged with, and so repeats, the computation.
+ratio = _ratio.asNondeterministic()

@@ -32,13 +32,17 @@ def character_vector(text: str | None, dimension: int = DIMENSION) -> np.ndarray
 
 
 def hash_embedding(text: Column | str, dimension: int = DIMENSION) -> Column:
-    """Deterministic embedding of a text column, one Arrow pass and no shuffle."""
+    """Deterministic embedding of a text column, one Arrow pass and no shuffle.
+
+    The function is declared nondeterministic only to keep filters on its
+    result from running it a second time; filter rows before embedding them.
+    """
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: character_vector(t, dimension))
 
-    return embed(text)
+    return embed.asNondeterministic()(text)
 
 
 def sentence_encoder(name: str = MODEL_NAME) -> Encoder | None:
@@ -77,7 +81,7 @@ def model_embedding(
                 vectors = [character_vector(t, dimension) for t in texts]
             yield pd.Series(vectors, index=texts.index)
 
-    return embed(text)
+    return embed.asNondeterministic()(text)
 
 
 def _doubles(vector: Column) -> Column:

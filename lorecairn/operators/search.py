@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..functions import text
 from ..functions.fuzzy import ratio
-from ..session import bounded_rows
+from ..session import bounded_rows, cut_lineage
 from . import matching
 from .ranking import EPSILON, attach_documents, clamp_results, largest, top_per_request
 
@@ -91,11 +91,6 @@ def _needed(min_score: Column, terms: Column) -> Column:
     return (min_score - EPSILON) * (10 * FIELDS) * F.size(terms)
 
 
-def _in_reach() -> Column:
-    """Whether the content could still lift the other fields over the threshold."""
-    return F.col("short") + CONTENT * F.size("terms") >= F.col("needed")
-
-
 def _finish(partial: DataFrame) -> DataFrame:
     """Add the content score and keep the rows that reach their threshold."""
     total = F.col("short") + _content_score(F.col("content"), F.col("terms"))
@@ -175,6 +170,7 @@ def _smart_scan(docs: DataFrame, rows: list[Row]) -> DataFrame:
 
 
 def _smart_join(docs: DataFrame, requests: DataFrame) -> tuple[int, DataFrame]:
+    requests = cut_lineage(requests)
     bounds = requests.agg(F.max("max_results").alias("k"), F.min("min_score").alias("low")).first()
     # With a threshold above what content alone can give, some term must occur
     # in a short field, and the long contents need not be indexed at all.
@@ -193,7 +189,8 @@ def _smart_join(docs: DataFrame, requests: DataFrame) -> tuple[int, DataFrame]:
     wanted = requests.select(
         "query_id", F.explode("terms").alias("term"), (n - least_matches + 1).alias("prefix")
     )
-    matches = matching.term_matches(fields, wanted, columns, inline=0)
+    # Used for the frequencies and for the candidates, so it is computed once.
+    matches = cut_lineage(matching.term_matches(fields, wanted, columns, inline=0))
     frequency = matches.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
     # A document that matches m of n terms matches one of any n - m + 1 of them:
     # the rarest ones generate the candidates, hot terms only take part in scoring.
@@ -218,13 +215,27 @@ def _smart_join(docs: DataFrame, requests: DataFrame) -> tuple[int, DataFrame]:
             )
         )
     candidates = candidates.distinct()
-    short = F.transform(F.array(_short_fields()), lambda f: _short_score(f, F.col("terms")))[0]
-    # The short fields decide which pairs fetch the long content at all.
+    # The short fields decide which pairs fetch the long content at all.  Terms
+    # are rows here, so that millions of pairs stay in generated code.
+    fields = docs.select("key", _short_fields().alias("fields")).select("key", "fields.*")
+
+    def weight(field: str, tenths: int) -> Column:
+        return F.when(F.contains(F.col(field), F.col("term")), tenths).otherwise(0)
+
+    short = (
+        candidates.join(fields, "key")
+        .join(wanted.select("query_id", "term"), "query_id")
+        .groupBy("query_id", "key")
+        .agg(
+            F.sum(weight("title", TITLE) + weight("summary", SUMMARY) + weight("tags", TAGS))
+            .cast("int")
+            .alias("short")
+        )
+    )
     partial = (
-        candidates.join(docs.select("key", "title", "summary", "tags"), "key")
-        .join(requests.withColumn("needed", needed).drop("min_score"), "query_id")
-        .select("query_id", "key", "max_results", "terms", "needed", short.alias("short"))
-        .where(_in_reach())
+        short.join(requests.withColumn("needed", needed).drop("min_score"), "query_id")
+        .where(F.col("short") + CONTENT * n >= F.col("needed"))
+        .select("query_id", "key", "max_results", "terms", "needed", "short")
     )
     return k, _finish(partial.join(docs.select("key", "content"), "key"))
 
@@ -496,9 +507,8 @@ def fuzzy_search(docs: DataFrame, requests: DataFrame, inline: int | None = None
     wanted = prepared.select(
         "query_id", "query_size", "min_score", F.explode("terms").alias("term")
     )
-    matches = matching.term_matches(sized, wanted, ["title", "content"], inline)
     candidates = (
-        matches.join(sized.select("key", "size"), "key")
+        matching.term_matches(sized, wanted, ["title", "content"], inline, carry=("size",))
         .join(wanted, "term")
         .where(fits)
         .select("query_id", "key")
