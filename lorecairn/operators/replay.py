@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 #: State of a key after a replay.
 STATE = (
     "key string, live boolean, version int, title string, tags array<string>, "
@@ -126,7 +128,8 @@ def replay(commands: DataFrame, state: DataFrame | None = None, chunk: str = "ho
     Version counts 1 for the last effective insert plus one per update applied
     since.  A deleted key keeps the values it had.
     """
-    judged = judge(commands, state, chunk)
+    # Four aggregates below read the judged log, so it is computed once.
+    judged = cut_lineage(judge(commands, state, chunk))
     applied = F.col("status") == "applied"
     is_insert = applied & (F.col("op") == "insert")
     is_end = applied & F.col("op").isin("insert", "delete")
