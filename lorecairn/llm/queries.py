@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, quality_model, quality_rules, sharding, token_counts, toxicity
+from . import language, mixing, quality_model, quality_rules, sharding, substring, token_counts, toxicity
 from .tables import held_out, read
 
 #: A public byte-level vocabulary; any file of that kind will do.
@@ -34,6 +34,12 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(read(spark, folder, "documents"), token_counts.byte_pieces(VOCABULARY))
 
 
+@query
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 50-word sequences that a smaller id has too."""
+    return substring.deduplicated(read(spark, folder, "documents"), with_text=False)
+
+
 @query
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document; one fold in four is never learned from."""
