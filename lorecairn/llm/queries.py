@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, quality_model, quality_rules, sharding, substring, token_counts, toxicity
+from . import decontaminate, language, mixing, quality_model, quality_rules, sharding, substring, token_counts, toxicity
 from .tables import held_out, read
 
 #: A public byte-level vocabulary; any file of that kind will do.
@@ -82,6 +82,12 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in documents, one row per pair."""
+    return decontaminate.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 @query
 def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document; one fold in three is never learned from."""
