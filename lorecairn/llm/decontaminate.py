@@ -2,13 +2,15 @@
 
 1. Words are hashed to features, whose document frequencies are counted over all
    documents.
-2. A randomised singular value decomposition of TF-IDF passages gives a
-   low-rank space.  It is fitted on a bounded sample of documents and on the
-   benchmark; tasks add up products with the sketch, the driver factors the
-   sketch, whose size is fixed.
-3. Overlapping windows of every document are projected and compared with all
-   benchmark items by cosine.  Window lengths double, and an item meets windows of one
-   to two times its own length, so a copy always fills at least half of some window.
+2. A randomised singular value decomposition of the benchmark's TF-IDF passages
+   gives a low-rank space: tasks multiply their passages with the sketch, the driver
+   factors the sums, whose size the sketch's width and the benchmark's words fix.
+   Corpus passages take no part in the fit: they would only turn the space to words
+   that are frequent in the corpus and tell no item from another.
+3. Overlapping windows of every document are projected.  A window is a candidate for
+   an item if its cosine with it, as the space sees it, is a good part of the cosine
+   that the item has with itself there.  Window lengths double, and an item meets
+   windows of one to two times its own length, so a copy fills at least half of some.
 4. Candidates are read again: the longest common subsequence with the item must
    cover most of it, and so must that of the item's closing words, its answer.
 
@@ -32,14 +34,11 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .textarrays import Chunk, _runs, chunks, prefix_sums, range_hash
 
-FEATURES, RANK, OVERSAMPLE, POWER = 1 << 13, 64, 16, 1
-#: About so many documents serve the decomposition.
-FIT_DOCUMENTS = 4_000
-FIT_WINDOW = 48
+FEATURES, RANK, OVERSAMPLE, POWER = 1 << 15, 160, 16, 1
 #: Benchmark items compared in one pass; more are taken in blocks.
 ITEM_BLOCK = 20_000
 SHORTEST = 24
-COSINE, SHARE, ANSWER_SHARE = 0.45, 0.6, 0.5
+COSINE, SHARE, ANSWER_SHARE = 0.42, 0.6, 0.5
 BLOCK_BYTES = 1 << 18
 _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -78,7 +77,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log((found.get(FEATURES, 0) + 1) / (count_ + 1)).astype(np.float32) + np.float32(1e-3)
 
 
-def _passages(hashes: np.ndarray, first: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passages(first: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and documents of the windows: every ``stride`` words, and one at each document's end."""
     size = np.diff(first)
     steps = np.maximum(-(-(size - window) // stride), 0) + 1
@@ -89,39 +88,18 @@ def _passages(hashes: np.ndarray, first: np.ndarray, window: int, stride: int) -
     return start, np.minimum(start + window, first[row + 1]), row
 
 
-def _project(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """Sum of the word vectors of each window."""
-    sums = np.zeros((len(hashes) + 1, space.shape[1]), dtype=np.float32)
-    np.cumsum(space[_feature(hashes)], axis=0, out=sums[1:])
-    return sums[end] - sums[start]
+def _sums(hashes: np.ndarray, space: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the words' latent vectors and of their squared weights."""
+    feature = _feature(hashes)
+    vectors = np.zeros((len(hashes) + 1, space.shape[1]), dtype=np.float32)
+    np.cumsum(space[feature], axis=0, out=vectors[1:])
+    return vectors, np.append(0.0, np.cumsum(idf[feature].astype(np.float64) ** 2))
 
 
-def _times_transpose(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, right: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A^T times ``right`` for the unit TF-IDF rows of the windows (which don't overlap)."""
-    out = np.zeros((FEATURES, right.shape[1]))
-    window = np.repeat(np.arange(len(start)), end - start)
-    at = np.repeat(start - np.append(0, np.cumsum(end - start)[:-1]), end - start) + np.arange((end - start).sum())
-    feature = _feature(hashes[at])
-    order = np.argsort(feature, kind="stable")
-    head = np.flatnonzero(np.append(True, np.diff(feature[order]) > 0)) if len(order) else order
-    if len(order):
-        out[feature[order][head]] = np.add.reduceat(right[window[order]], head, axis=0)
-    return out * idf[:, None]
-
-
-def _norms(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Length of each window's TF-IDF row, repeated words taken as distinct."""
-    sums = np.append(0.0, np.cumsum(idf[_feature(hashes)].astype(np.float64) ** 2))
-    return np.sqrt(np.maximum(sums[end] - sums[start], 1e-9))
-
-
-def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Vector of every feature in the latent space: idf x right singular vector / singular value."""
-    count = max(1, docs.count())
-    share = min(1.0, FIT_DOCUMENTS / count)
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    sample = cut_lineage(docs.where(drawn).select("text").unionByName(items.select("text")).repartition(8))
-    context = docs.sparkSession.sparkContext
+def latent_space(items: DataFrame, idf: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Vector of every feature in the latent space: its weight times its right singular vectors."""
+    passages = cut_lineage(items.select("text").repartition(4))
+    context = items.sparkSession.sparkContext
 
     def total(right: np.ndarray, gram: bool) -> np.ndarray:
         """Sum over passages of A^T (A right), or of (A right)^T (A right)."""
@@ -129,31 +107,40 @@ def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray, seed: int =
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right, idf = shared.value
-            space, out = right * idf[:, None], 0.0
+            out = np.zeros((right.shape[1],) * 2 if gram else right.shape)
             for batch in batches:
                 for chunk in chunks(batch.column("text"), BLOCK_BYTES):
                     hashes, first = terms(chunk)
-                    start, end, _ = _passages(hashes, first, FIT_WINDOW, FIT_WINDOW)
-                    if not len(start):
+                    first = first[np.append(True, np.diff(first) > 0)]
+                    if not len(hashes):
                         continue
-                    length = _norms(hashes, start, end, idf)[:, None]
-                    left = _project(hashes, start, end, space) / length
-                    out = out + (left.T @ left if gram else _times_transpose(hashes, start, end, left / length, idf))
-            if not np.isscalar(out):
-                yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float64).tobytes()])], ["sums"])
-
-        # One fixed-size matrix from each of the sample's eight tasks.
-        rows = sample.mapInArrow(run, "sums binary").collect()
-        shape = (right.shape[1],) * 2 if gram else right.shape
-        return sum((np.frombuffer(bytes(r["sums"])).reshape(shape) for r in rows), np.zeros(shape))
+                    vectors, squares = _sums(hashes, right * idf[:, None], idf)
+                    length = np.sqrt(np.maximum(np.diff(squares[first]), 1e-9))[:, None]
+                    left = np.diff(vectors[first], axis=0) / length
+                    if gram:
+                        out += left.T @ left
+                    else:
+                        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                        np.add.at(out, _feature(hashes), (left / length)[owner])
+            if not gram:
+                out *= idf[:, None]
+            used = np.flatnonzero(out.any(axis=1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([used.tobytes()]), pa.array([out[used].astype(np.float32).tobytes()])], ["used", "sums"])
+
+        # Each of the four tasks sends the features of its items, at most FEATURES rows.
+        out = np.zeros((right.shape[1],) * 2 if gram else right.shape)
+        for row in passages.mapInArrow(run, "used binary, sums binary").collect():
+            used = np.frombuffer(bytes(row["used"]), dtype=np.int32)
+            out[used] += np.frombuffer(bytes(row["sums"]), dtype=np.float32).reshape(len(used), right.shape[1])
+        return out
 
     sketch = np.random.default_rng(seed).standard_normal((FEATURES, RANK + OVERSAMPLE))
     for _ in range(1 + POWER):
         sketch, _ = np.linalg.qr(total(sketch, False))
     values, vectors = np.linalg.eigh(total(sketch, True))
     best = np.argsort(-values)[:RANK]
-    scale = np.sqrt(np.maximum(values[best], values.max() * 1e-6 + 1e-12))
-    return ((sketch @ vectors[:, best]) / scale * idf[:, None]).astype(np.float32)
+    best = best[values[best] > 1e-6 * max(values.max(), 1e-12)]
+    return (sketch @ vectors[:, best] * idf[:, None]).astype(np.float32)
 
 
 def common_length(item: dict[int, int], text: list[int], size: int) -> int:
@@ -175,7 +162,10 @@ def _bits(words: list[int]) -> dict[int, int]:
 
 @dataclass
 class Items:
-    """Benchmark items of one window length: ids, unit latent vectors, and their words as bit tables."""
+    """Benchmark items of one window length: ids, latent vectors, and their words as bit tables.
+
+    The vectors are scaled so that a window's product with an item is 1 for the item itself.
+    """
 
     window: int
     ids: list[int]
@@ -185,7 +175,7 @@ class Items:
     answer: list[tuple[int, dict[int, int]]]
 
 
-def prepare(rows: list[tuple[int, str]], space: np.ndarray) -> list[Items]:
+def prepare(rows: list[tuple[int, str]], space: np.ndarray, idf: np.ndarray) -> list[Items]:
     groups: dict[int, list[tuple[int, list[int], np.ndarray]]] = defaultdict(list)
     for chunk in chunks(pa.array([text for _, text in rows], pa.string())):
         hashes, first = terms(chunk)
@@ -195,35 +185,43 @@ def prepare(rows: list[tuple[int, str]], space: np.ndarray) -> list[Items]:
                 window = SHORTEST
                 while window < len(own):
                     window *= 2
-                groups[window].append((rows[chunk.lo + row][0], own.tolist(), space[_feature(own)].sum(axis=0)))
+                vectors, squares = _sums(own, space, idf)
+                unit = vectors[-1] / np.sqrt(max(squares[-1], 1e-9))
+                groups[window].append((rows[chunk.lo + row][0], own.tolist(), unit / max(float(unit @ unit), 1e-9)))
     out = []
     for window, found in sorted(groups.items()):
-        vectors = np.stack([x[2] for x in found])
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
         closing = [x[1][-max(3, len(x[1]) // 4) :] for x in found]
         out.append(
-            Items(window, [x[0] for x in found], vectors, [len(x[1]) for x in found], [_bits(x[1]) for x in found], [(len(x), _bits(x)) for x in closing])
+            Items(
+                window,
+                [x[0] for x in found],
+                np.stack([x[2] for x in found]).astype(np.float32),
+                [len(x[1]) for x in found],
+                [_bits(x[1]) for x in found],
+                [(len(x), _bits(x)) for x in closing],
+            )
         )
     return out
 
 
-def find(hashes: np.ndarray, first: np.ndarray, space: np.ndarray, items: list[Items]) -> dict[int, dict[int, tuple[float, int, int]]]:
+def find(
+    hashes: np.ndarray, first: np.ndarray, space: np.ndarray, idf: np.ndarray, items: list[Items]
+) -> dict[int, dict[int, tuple[float, int, int]]]:
     """For each document with leaks: item -> (best cosine, words in common, words of the item)."""
     leaks: dict[int, dict[int, tuple[float, int, int]]] = defaultdict(dict)
     if not len(hashes):
         return leaks
-    sums = np.zeros((len(hashes) + 1, space.shape[1]), dtype=np.float32)
-    np.cumsum(space[_feature(hashes)], axis=0, out=sums[1:])
+    vectors, squares = _sums(hashes, space, idf)
     for group in items:
         stride = group.window // 4
-        start, end, row = _passages(hashes, first, group.window, stride)
-        vectors = sums[end] - sums[start]
-        length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        start, end, row = _passages(first, group.window, stride)
+        length = np.sqrt(np.maximum(squares[end] - squares[start], 1e-9)).astype(np.float32)
+        latent = (vectors[end] - vectors[start]) / length[:, None]
         for lo in range(0, len(group.ids), 1024):
-            cosine = vectors @ group.vectors[lo : lo + 1024].T
-            window, item = np.nonzero(cosine >= COSINE * np.maximum(length, 1e-9)[:, None])
+            cosine = latent @ group.vectors[lo : lo + 1024].T
+            window, item = np.nonzero(cosine >= COSINE)
             for w, i in zip(window.tolist(), item.tolist(), strict=True):
-                value, i, doc = float(cosine[w, i] / length[w]), i + lo, int(row[w])
+                value, i, doc = float(cosine[w, i]), i + lo, int(row[w])
                 known = leaks[doc].get(group.ids[i]) if doc in leaks else None
                 if known and known[0] >= value:
                     continue
@@ -244,12 +242,12 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     spark = docs.sparkSession
     idf = inverse_frequencies(docs)
-    space = latent_space(docs, items, idf)
+    space = latent_space(items, idf)
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     out = docs.select(*kept).withColumn("leaks", F.array().cast(LEAKS))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast((space, prepare(sorted((r["item_id"], r["text"]) for r in rows), space)))
+        shared = spark.sparkContext.broadcast((space, idf, prepare(sorted((r["item_id"], r["text"]) for r in rows), space, idf)))
         out = out.mapInArrow(_search(shared, kept), out.schema)
     return out
 
@@ -258,11 +256,11 @@ def _search(shared, kept: list[str]):
     """Adds the leaks of one block of items to those found before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, items = shared.value
+        space, idf, items = shared.value
         for batch in batches:
             found = batch.column("leaks").to_pylist()
             for chunk in chunks(batch.column("text"), BLOCK_BYTES):
-                for doc, leaks in find(*terms(chunk), space, items).items():
+                for doc, leaks in find(*terms(chunk), space, idf, items).items():
                     new = [
                         {"item_id": item, "cosine": cosine, "lcs_words": common, "item_words": size}
                         for item, (cosine, common, size) in leaks.items()
