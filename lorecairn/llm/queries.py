@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality_model, quality_rules, sharding, substring, token_counts, toxicity
+from . import decontaminate, language, mixing, ngram_join, quality_model, quality_rules, sharding, substring, token_counts, toxicity
 from .tables import held_out, read
 
 #: A public byte-level vocabulary; any file of that kind will do.
@@ -22,6 +22,12 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles overlap by nine tenths."""
+    return ngram_join.joined(read(spark, folder, "documents"))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rule measures, posterior quality and verdict of every document."""
