@@ -140,10 +140,10 @@ def learn(docs: DataFrame, rows: Column, dimension: int = DIMENSION, seed: int =
     return Profiles(names, vectors, seed)
 
 
-def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``docs`` with lang_pred and score in place of columns of those names."""
+def identify(docs: DataFrame, profiles: Profiles, predicted: str = "lang_pred", cosine: str = "score") -> DataFrame:
+    """``docs`` with the language and its cosine, in place of columns of the names given for them."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in (predicted, cosine)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -163,17 +163,17 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 table = vectors.table[places]
                 bundle = counts @ table
                 norm = np.linalg.norm(bundle, axis=1)
-                cosine = (bundle @ known.vectors.T) / np.maximum(norm, 1e-9)[:, None]
+                alike = (bundle @ known.vectors.T) / np.maximum(norm, 1e-9)[:, None]
                 some = counts.any(axis=1)
                 at = np.flatnonzero(some) + chunk.lo
-                best[at] = cosine.argmax(axis=1)[some]
-                score[at] = np.clip(cosine.max(axis=1)[some], 0.0, 1.0)
+                best[at] = alike.argmax(axis=1)[some]
+                score[at] = np.clip(alike.max(axis=1)[some], 0.0, 1.0)
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(names[best].tolist(), type=pa.string()), pa.array(score)], [*kept, "lang_pred", "score"]
+                [*columns, pa.array(names[best].tolist(), type=pa.string()), pa.array(score)], [*kept, predicted, cosine]
             )
 
     schema = T.StructType(
-        [*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        [*(docs.schema[c] for c in kept), T.StructField(predicted, T.StringType()), T.StructField(cosine, T.DoubleType())]
     )
     return docs.select(*kept).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .tables import WORD
 
-BITS, LEVELS, ROUNDS = 12, 4, 3
+BITS, LEVELS, ROUNDS = 16, 3, 3
 #: As many sources at most are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 _TOP = 1 << (BITS * LEVELS)
@@ -84,37 +84,33 @@ def targets(totals: DataFrame, share: float, most: float, cycle: tuple[int, ...]
     return sources.withColumn("target", F.least(F.col("weight") * level, stop))
 
 
-def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+def _threshold(rows: DataFrame, budgets: DataFrame, few: bool) -> DataFrame:
     """number, upto, rest: rows with a hash below ``upto`` fit the budget, which then has ``rest`` words left."""
     # A level's state: the buckets before ``prefix`` are in, ``rest`` words are left for bucket ``prefix``.
     state = budgets.select("number", F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("rest"))
     running = Window.partitionBy("number").orderBy("bucket")
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        buckets = (
-            rows.join(
-                state.select("number", "prefix"),
-                (rows["number"] == state["number"]) & (F.shiftright(rows["hash"], shift + BITS) == state["prefix"]),
-            )
-            .select(rows["number"], F.shiftright("hash", shift).alias("bucket"), "size")
-            .groupBy("number", "bucket")
+        sums = (
+            rows.join(F.broadcast(state) if few else state, "number")
+            .where(F.shiftright("hash", shift + BITS) == F.col("prefix"))
+            .groupBy("number", "rest", F.shiftright("hash", shift).alias("bucket"))
             .agg(F.sum("size").alias("words"))
-        )
-        sums = buckets.withColumn("upto", F.sum("words").over(running))
-        state = (
-            state.join(sums, "number", "left")
-            .groupBy("number", "prefix", "rest")
+            .withColumn("sum", F.sum("words").over(running))
+            .groupBy("number")
             .agg(
-                F.min(F.when(F.col("upto") > F.col("rest"), F.col("bucket"))).alias("over"),
-                F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("inside"),
-            )
-            .select(
-                "number",
-                F.coalesce("over", F.shiftleft(F.col("prefix") + 1, BITS)).alias("prefix"),
-                (F.col("rest") - F.coalesce("inside", F.lit(0))).alias("rest"),
+                F.min(F.when(F.col("sum") > F.col("rest"), F.col("bucket"))).alias("over"),
+                F.max(F.when(F.col("sum") <= F.col("rest"), F.col("sum"))).alias("inside"),
             )
         )
-    return cut_lineage(state.withColumnRenamed("prefix", "upto"))
+        state = state.join(sums, "number", "left").select(
+            "number",
+            F.coalesce("over", F.shiftleft(F.col("prefix") + 1, BITS)).alias("prefix"),
+            (F.col("rest") - F.coalesce("inside", F.lit(0))).alias("rest"),
+        )
+        # A row per source; without the cut every level would compute those before it again.
+        state = cut_lineage(state)
+    return state.withColumnRenamed("prefix", "upto")
 
 
 @dataclass
@@ -160,7 +156,7 @@ def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[in
     left = rows.join(F.broadcast(budgets) if few else budgets, "number").where("size <= budget")
     found = table
     for k in range(ROUNDS):
-        ends = _threshold(left.select("number", "size", "hash"), budgets)
+        ends = _threshold(left.select("number", "size", "hash"), budgets, few)
         found = found.join(
             budgets.join(ends, "number").select("number", F.col("upto").alias(f"__upto{k}"), F.col("budget").alias(f"__rest{k}")),
             "number",
