@@ -15,9 +15,9 @@ pair per member: the pair with most common tiles first, then those that would st
 join two components.
 
 *Rest.*  A tile that still holds several components is compared block by block: bit
-tables of 2,048 bits bound each intersection from above by counting bits, and what
-passes is intersected as sorted arrays.  A pair is skipped once its components have
-met, so a task sends at most one link per member.
+tables of 2,048 bits bound each intersection from above by counting bits.  Pairs of
+one component are skipped, and the few others that pass are intersected as
+sorted arrays.
 
 Documents of equal sets are one node from the start.  A block of documents sends a
 tile's name once, so a group of copies of any size sends a few rows per block.
@@ -253,27 +253,34 @@ def stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """doc, hashes (sorted, 8 bytes each), bits: the sets of the documents in ``wanted`` (node)."""
+    """doc, hashes (sorted, 8 bytes each), bits: the sets of the documents in ``wanted`` (node), and a few more.
+
+    A task gives a row once, however often it is repeated.
+    """
     table = docs.sparkSession.sparkContext.broadcast(member_bits(wanted, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             asked = np.flatnonzero(maybe(table.value, batch.column("place").to_numpy()))
             batch = batch.take(pa.array(asked))
             ids = batch.column("doc_id")
             for chunk in chunks(batch.column("text")):
                 hashes, first = shingles(chunk, n)
+                named = zip(ids[chunk.lo : chunk.hi].to_pylist(), *(x.tolist() for x in _digest(hashes, first)), strict=True)
+                new = [(r, x) for r, x in enumerate(named) if x not in seen and not seen.add(x)]
                 bits = bitmaps(hashes, first)
-                sets = [hashes[first[r] : first[r + 1]].tobytes() for r in range(chunk.rows)]
+                rows = [r for r, _ in new]
+                sets = [hashes[first[r] : first[r + 1]].tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [ids[chunk.lo : chunk.hi], pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc", "hashes", "bits"]
+                    [pa.array([x[0] for _, x in new], pa.int64()), pa.array(sets, pa.binary()), pa.array([bits[r].tobytes() for r in rows], pa.binary())],
+                    ["doc", "hashes", "bits"],
                 )
 
     known = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", bit_place(F.col("doc_id").cast("long")).alias("place")
     )
-    found = known.mapInArrow(run, "doc long, hashes binary, bits binary").where("octet_length(hashes) > 0")
-    return found.join(wanted.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi")
+    return known.mapInArrow(run, "doc long, hashes binary, bits binary").where("octet_length(hashes) > 0")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -293,15 +300,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(links(_common(a, b), len(a), len(b), percent)))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
+    # One exchange of each column serves both sides.
+    dealt = {column: sets.select("doc", column, F.octet_length("hashes").alias("bytes")).repartition("doc") for column in ("bits", "hashes")}
+
     def side(name: str, column: str) -> DataFrame:
-        return sets.select(F.col("doc").alias(name), F.col(column).alias(f"{name}_{column}"), (F.octet_length("hashes") / 8).cast("long").alias(f"{name}_size"))
+        return dealt[column].select(F.col("doc").alias(name), F.col(column).alias(f"{name}_{column}"), (F.col("bytes") / 8).cast("long").alias(f"{name}_size"))
 
-    near = pairs.join(side("a", "bits"), "a").join(side("b", "bits"), "b").mapInArrow(bounded, "a long, b long")
+    near = pairs.select("a", "b").join(side("a", "bits"), "a").join(side("b", "bits"), "b").mapInArrow(bounded, "a long, b long")
     return near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").mapInArrow(exact, "a long, b long").distinct()
 
 
-def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components within tiles: members has tile, node and component; tiles are cut into blocks."""
+def _tile_pairs(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one tile that the bit counts do not rule out.
+
+    ``members`` has tile, node and component; tiles are cut into blocks of bounded size.
+    """
     sizes = members.groupBy("tile").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("who"))
     # Tiles with the same members are compared once.
     once = sizes.groupBy("n", "who").agg(F.min("tile").alias("tile")).select("tile", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("blocks"))
@@ -314,7 +327,7 @@ def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "node",
         "component",
     )
-    rows = spread_out.join(sets.withColumnRenamed("doc", "node"), "node").repartition("task").sortWithinPartitions("task")
+    rows = spread_out.join(bits.withColumnRenamed("doc", "node"), "node").repartition("task").sortWithinPartitions("task")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -334,39 +347,25 @@ def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _compare_tasks(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     if not table.num_rows:
         return
-    task = table.column("task").to_numpy()
-    node, component = (table.column(x).to_numpy() for x in ("node", "component"))
+    task, node, component, size = (table.column(x).to_numpy() for x in ("task", "node", "component", "size"))
     right = table.column("right").to_numpy(zero_copy_only=False)
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(sets), -1)
-    size = np.array([len(x) for x in sets])
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
     head = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
-    found: list[tuple[int, int]] = []
     for lo, hi in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):
         group = np.arange(lo, hi)
         ahead, behind = group[~right[lo:hi]], group[right[lo:hi]]
         # A block against itself has no right side.
         behind = behind if len(behind) else ahead
-        parent = {c: c for c in component[lo:hi].tolist()}
-
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
+        found: list[np.ndarray] = []
         for i in ahead.tolist():
             rest = behind[component[behind] != component[i]]
-            if not len(rest):
-                continue
             rest = rest[links(np.minimum(size[rest], size[i]), size[rest], size[i], percent)]
-            rest = rest[links(most_common(bits[i], bits[rest], size[i], size[rest]), size[rest], size[i], percent)]
-            for j in rest.tolist():
-                a, b = root(int(component[i])), root(int(component[j]))
-                if a != b and links(_common(sets[i], sets[j]), size[i], size[j], percent):
-                    parent[max(a, b)] = min(a, b)
-                    found.append((int(node[i]), int(node[j])))
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], ["a", "b"])
+            if len(rest):
+                rest = rest[links(most_common(bits[i], bits[rest], size[i], size[rest]), size[rest], size[i], percent)]
+                found.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i])]))
+        if found:
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -379,8 +378,12 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     nodes = cut_lineage(sets_known.join(first, same).select(F.col("doc_id").cast("long").alias("doc"), "rep"))
     star = cut_lineage(stars(docs, n, percent))
     by_digest = nodes.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    pairs = star.groupBy(F.col("leader").alias("a"), F.col("member").alias("b")).agg(F.count("*").alias("tiles"))
-    wanted = cut_lineage(star.select(F.col("leader").alias("node")).union(star.select(F.col("member").alias("node"))).distinct())
+    # Copies stand for their set: pairs are of different sets, and few documents' sets are needed.
+    pairs = star.groupBy("leader", "member").agg(F.count("*").alias("tiles"))
+    for side, name in (("leader", "a"), ("member", "b")):
+        pairs = pairs.join(nodes.select(F.col("doc").alias(side), F.col("rep").alias(name)), side)
+    pairs = cut_lineage(pairs.where("a <> b").groupBy("a", "b").agg(F.sum("tiles").alias("tiles")))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = cut_lineage(sets_of(docs, wanted, n))
     # Each member first tries the leader with which it shares most tiles.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("tiles", -F.col("a"))).alias("a"))
@@ -403,12 +406,17 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     # With one star pair, a tile has been compared as a whole.
     open_tiles = open_tiles.where("open = 1 and n > 1").select("tile")
     inside = split.join(open_tiles, "tile", "left_semi")
-    members = inside.select("tile", F.col("leader").alias("node"), F.col("leader_component").alias("component")).unionByName(
-        inside.select("tile", F.col("member").alias("node"), F.col("member_component").alias("component"))
+    for side in ("leader", "member"):
+        inside = inside.join(nodes.select(F.col("doc").alias(side), F.col("rep").alias(f"{side}_rep")), side)
+    members = inside.select("tile", F.col("leader_rep").alias("node"), F.col("leader_component").alias("component")).unionByName(
+        inside.select("tile", F.col("member_rep").alias("node"), F.col("member_component").alias("component"))
     )
     members = cut_lineage(members.distinct())
     if not members.isEmpty():
-        rest = cut_lineage(_tile_links(members, sets, percent))
+        bits = sets.select("doc", "bits", (F.octet_length("hashes") / 8).cast("long").alias("size"))
+        compared = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = cut_lineage(_tile_pairs(members, bits, percent).join(compared, ["a", "b"], "left_anti"))
+        rest = cut_lineage(verified(found, sets, percent))
         if not rest.isEmpty():
             labels = components(edges.unionByName(rest))
     named = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
