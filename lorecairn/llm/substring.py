@@ -34,9 +34,9 @@ from .textarrays import chunks, mix, ngram_hash, words
 
 LENGTH = 50
 #: One posting: hash of the window, id and text of its document, place in it.
-_HALF = {"key": np.dtype("<u8"), "doc": np.dtype("<i8"), "text_key": np.dtype("<i8"), "at": np.dtype("<i4"), "known": np.dtype("?")}
-_WHOLE = {"key": np.dtype("<u8"), "check": np.dtype("<u4"), "doc": np.dtype("<i8"), "text_key": np.dtype("<i8"), "at": np.dtype("<i4"), "known": np.dtype("?")}
-_PLACES = "doc_id long, text_key long, at array<int>"
+_HALF = {"key": np.dtype("<u8"), "doc": np.dtype("<i8"), "text_key": np.dtype("<i4"), "at": np.dtype("<i4"), "known": np.dtype("?")}
+_WHOLE = {"key": np.dtype("<u8"), "check": np.dtype("<u4"), "doc": np.dtype("<i8"), "text_key": np.dtype("<i4"), "at": np.dtype("<i4"), "known": np.dtype("?")}
+_PLACES = "doc_id long, text_key int, at array<int>"
 
 
 def _smallest(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -211,17 +211,29 @@ def _windows_asked(rows: int, first: np.ndarray, places: pa.Array, lo: int, leng
 
 def _together(places: DataFrame) -> DataFrame:
     """All places of a document in one list, which its length bounds."""
-    return places.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    found = F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")
+    return places.groupBy(F.col("doc_id").alias("id"), "text_key").agg(found)
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with text_key and at: starts of the windows that go (null: none)."""
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    # Both joins read one exchange of the texts, which Spark reuses.
-    known = keyed.where("doc_id is not null and text is not null").select("doc_id", "text_key", "text")
+    """``docs`` (doc_id, text) with at: starts of the windows that go (null: none).
+
+    The texts are dealt once: both joins have the same keys, which are never null, and
+    the same columns, so that Spark reuses the exchange.
+    """
+    keyed = docs.select(
+        "doc_id",
+        "text",
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.hash(F.col("doc_id").isNull(), "text").alias("text_key"),
+    )
+    known = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.lit(False), "text").alias("text_key"), "text"
+    )
     halves = _together(_repeated_halves(known, length))
-    wholes = _together(_repeated_wholes(keyed.join(halves, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "at"), length))
-    return keyed.join(wholes, ["doc_id", "text_key"], "left")
+    found = keyed.join(halves, ["id", "text_key"]).select("doc_id", "text", F.col("id"), "text_key", "at")
+    wholes = _together(_repeated_wholes(found, length))
+    return keyed.join(wholes, ["id", "text_key"], "left").select("doc_id", "text", "at")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
@@ -258,5 +270,5 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = True)
     fields = [docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_text:
         fields.append(T.StructField("kept_text", T.StringType()))
-    rows = removals(docs.select("doc_id", "text"), length).select("doc_id", "text", "at")
+    rows = removals(docs.select("doc_id", "text"), length)
     return rows.mapInArrow(cut, T.StructType(fields))
