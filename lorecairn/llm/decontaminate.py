@@ -88,59 +88,87 @@ def _passages(first: np.ndarray, window: int, stride: int) -> tuple[np.ndarray,
     return start, np.minimum(start + window, first[row + 1]), row
 
 
-def _sums(hashes: np.ndarray, space: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Features:
+    """Weight of every feature, and which row of the space it has; those that no item has share the last, zero row."""
+
+    idf: np.ndarray
+    row: np.ndarray
+
+    @property
+    def rows(self) -> int:
+        return int(self.row.max()) + 1
+
+
+def item_features(items: DataFrame, idf: np.ndarray) -> Features:
+    """The features of the benchmark; at most one row each reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_feature(terms(chunk)[0])))], ["feature"])
+
+    used = sorted(r["feature"] for r in items.select("text").mapInArrow(run, "feature long").distinct().collect())
+    row = np.full(FEATURES, len(used), dtype=np.int32)
+    row[used] = np.arange(len(used))
+    return Features(idf, row)
+
+
+def _sums(hashes: np.ndarray, space: np.ndarray, features: Features) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of the words' latent vectors and of their squared weights."""
     feature = _feature(hashes)
     vectors = np.zeros((len(hashes) + 1, space.shape[1]), dtype=np.float32)
-    np.cumsum(space[feature], axis=0, out=vectors[1:])
-    return vectors, np.append(0.0, np.cumsum(idf[feature].astype(np.float64) ** 2))
+    np.cumsum(space[features.row[feature]], axis=0, out=vectors[1:])
+    return vectors, np.append(0.0, np.cumsum(features.idf[feature].astype(np.float64) ** 2))
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Vector of every feature in the latent space: its weight times its right singular vectors."""
+def latent_space(items: DataFrame, features: Features, seed: int = 3) -> np.ndarray:
+    """Latent vector of every feature of the benchmark: its weight times its right singular vectors."""
     passages = cut_lineage(items.select("text").repartition(4))
     context = items.sparkSession.sparkContext
+    size = features.rows
+    weight = np.zeros((size, 1))
+    weight[features.row, 0] = features.idf
+    weight[-1] = 0
 
     def total(right: np.ndarray, gram: bool) -> np.ndarray:
         """Sum over passages of A^T (A right), or of (A right)^T (A right)."""
-        shared = context.broadcast((right.astype(np.float32), idf))
+        shared = context.broadcast(((right * weight).astype(np.float32), features))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            right, idf = shared.value
-            out = np.zeros((right.shape[1],) * 2 if gram else right.shape)
+            space, features = shared.value
+            out = np.zeros((space.shape[1],) * 2 if gram else space.shape)
             for batch in batches:
                 for chunk in chunks(batch.column("text"), BLOCK_BYTES):
                     hashes, first = terms(chunk)
                     first = first[np.append(True, np.diff(first) > 0)]
                     if not len(hashes):
                         continue
-                    vectors, squares = _sums(hashes, right * idf[:, None], idf)
+                    vectors, squares = _sums(hashes, space, features)
                     length = np.sqrt(np.maximum(np.diff(squares[first]), 1e-9))[:, None]
                     left = np.diff(vectors[first], axis=0) / length
                     if gram:
                         out += left.T @ left
                     else:
                         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                        np.add.at(out, _feature(hashes), (left / length)[owner])
-            if not gram:
-                out *= idf[:, None]
-            used = np.flatnonzero(out.any(axis=1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([used.tobytes()]), pa.array([out[used].astype(np.float32).tobytes()])], ["used", "sums"])
-
-        # Each of the four tasks sends the features of its items, at most FEATURES rows.
-        out = np.zeros((right.shape[1],) * 2 if gram else right.shape)
-        for row in passages.mapInArrow(run, "used binary, sums binary").collect():
-            used = np.frombuffer(bytes(row["used"]), dtype=np.int32)
-            out[used] += np.frombuffer(bytes(row["sums"]), dtype=np.float32).reshape(len(used), right.shape[1])
-        return out
-
-    sketch = np.random.default_rng(seed).standard_normal((FEATURES, RANK + OVERSAMPLE))
+                        np.add.at(out, features.row[_feature(hashes)], (left / length)[owner])
+            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()])], ["sums"])
+
+        # Four tasks send a matrix of the sketch's width and one row per feature at most.
+        shape = (right.shape[1],) * 2 if gram else right.shape
+        out = np.zeros(shape)
+        for row in passages.mapInArrow(run, "sums binary").collect():
+            out += np.frombuffer(bytes(row["sums"]), dtype=np.float32).reshape(shape)
+        shared.unpersist()
+        return out if gram else out * weight
+
+    sketch = np.random.default_rng(seed).standard_normal((size, RANK + OVERSAMPLE))
     for _ in range(1 + POWER):
         sketch, _ = np.linalg.qr(total(sketch, False))
     values, vectors = np.linalg.eigh(total(sketch, True))
     best = np.argsort(-values)[:RANK]
     best = best[values[best] > 1e-6 * max(values.max(), 1e-12)]
-    return (sketch @ vectors[:, best] * idf[:, None]).astype(np.float32)
+    return (sketch @ vectors[:, best] * weight).astype(np.float32)
 
 
 def common_length(item: dict[int, int], text: list[int], size: int) -> int:
@@ -175,7 +203,7 @@ class Items:
     answer: list[tuple[int, dict[int, int]]]
 
 
-def prepare(rows: list[tuple[int, str]], space: np.ndarray, idf: np.ndarray) -> list[Items]:
+def prepare(rows: list[tuple[int, str]], space: np.ndarray, features: Features) -> list[Items]:
     groups: dict[int, list[tuple[int, list[int], np.ndarray]]] = defaultdict(list)
     for chunk in chunks(pa.array([text for _, text in rows], pa.string())):
         hashes, first = terms(chunk)
@@ -185,7 +213,7 @@ def prepare(rows: list[tuple[int, str]], space: np.ndarray, idf: np.ndarray) ->
                 window = SHORTEST
                 while window < len(own):
                     window *= 2
-                vectors, squares = _sums(own, space, idf)
+                vectors, squares = _sums(own, space, features)
                 unit = vectors[-1] / np.sqrt(max(squares[-1], 1e-9))
                 groups[window].append((rows[chunk.lo + row][0], own.tolist(), unit / max(float(unit @ unit), 1e-9)))
     out = []
@@ -205,13 +233,13 @@ def prepare(rows: list[tuple[int, str]], space: np.ndarray, idf: np.ndarray) ->
 
 
 def find(
-    hashes: np.ndarray, first: np.ndarray, space: np.ndarray, idf: np.ndarray, items: list[Items]
+    hashes: np.ndarray, first: np.ndarray, space: np.ndarray, features: Features, items: list[Items]
 ) -> dict[int, dict[int, tuple[float, int, int]]]:
     """For each document with leaks: item -> (best cosine, words in common, words of the item)."""
     leaks: dict[int, dict[int, tuple[float, int, int]]] = defaultdict(dict)
     if not len(hashes):
         return leaks
-    vectors, squares = _sums(hashes, space, idf)
+    vectors, squares = _sums(hashes, space, features)
     for group in items:
         stride = group.window // 4
         start, end, row = _passages(first, group.window, stride)
@@ -241,13 +269,13 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c.lower() != "leaks"]
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     spark = docs.sparkSession
-    idf = inverse_frequencies(docs)
-    space = latent_space(items, idf)
+    features = item_features(items, inverse_frequencies(docs))
+    space = latent_space(items, features)
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     out = docs.select(*kept).withColumn("leaks", F.array().cast(LEAKS))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast((space, idf, prepare(sorted((r["item_id"], r["text"]) for r in rows), space, idf)))
+        shared = spark.sparkContext.broadcast((space, features, prepare(sorted((r["item_id"], r["text"]) for r in rows), space, features)))
         out = out.mapInArrow(_search(shared, kept), out.schema)
     return out
 
@@ -256,11 +284,11 @@ def _search(shared, kept: list[str]):
     """Adds the leaks of one block of items to those found before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, idf, items = shared.value
+        space, features, items = shared.value
         for batch in batches:
             found = batch.column("leaks").to_pylist()
             for chunk in chunks(batch.column("text"), BLOCK_BYTES):
-                for doc, leaks in find(*terms(chunk), space, idf, items).items():
+                for doc, leaks in find(*terms(chunk), space, features, items).items():
                     new = [
                         {"item_id": item, "cosine": cosine, "lcs_words": common, "item_words": size}
                         for item, (cosine, common, size) in leaks.items()
