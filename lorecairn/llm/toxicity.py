@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,8 @@ from .textarrays import Chunk, chunks, code_points, letter_runs, prefix_sums, ra
 FIT_DOCUMENTS, FIT_TERMS = 20_000, 1 << 14
 #: A term needs so many documents of the sample.
 MIN_DOCUMENTS = 4
-#: ... and must stand in more toxic ones than chance lets expect, by so many standard deviations.
-LEAN = 4.0
+#: ... and must lean to toxic ones so clearly that chance alone lets about this many terms through.
+CHANCE_TERMS = 20
 OPENINGS = (4, 5, 6, 7)
 THRESHOLD = 0.3
 _STEPS, _RATE, _SHRINK = 150, 0.08, 2e-5
@@ -123,9 +124,10 @@ def fit(texts: pa.Array, label: np.ndarray) -> Weights:
     count = pd.concat(counted).groupby(level=0).sum()
     count = count[count["count"] >= MIN_DOCUMENTS]
     # Keep what leans most to class 1: the excess over what the share of class 1 lets expect.
+    clear = NormalDist().inv_cdf(1 - min(0.5, CHANCE_TERMS / max(1, len(count))))
     share = label.mean()
     excess = (count["sum"] - count["count"] * share) / np.sqrt(count["count"] * share * (1 - share))
-    excess = excess[excess > LEAN].sort_values(ascending=False).head(FIT_TERMS)
+    excess = excess[excess > clear].sort_values(ascending=False).head(FIT_TERMS)
     if excess.empty:
         return empty
     term = np.sort(excess.index.to_numpy().astype(np.uint64))
