@@ -102,3 +102,44 @@ def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality_model.score(docs.select("doc_id", "text"), model)
     predicted = (F.col("score") >= quality_model.THRESHOLD).cast("int")
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+# What SQL can express.  The others have learned models or random draws and are
+# tested against brute force, planted cases or held-out rows.
+_WORDS = r"""list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+
+CHECKS["op1_ngram_join"] = f"""
+WITH RECURSIVE
+w AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words
+      FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS gram
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+           FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+          WHERE 100 * shared >= 90 * (p.size + q.size - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (
+    SELECT a, b FROM edges
+    UNION
+    SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
+SELECT d.doc_id, CAST(coalesce(n.size, 0) AS BIGINT) AS n_shingles,
+       least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) r USING (doc_id)"""
+
+CHECKS["op4_substring_dedup"] = f"""
+WITH
+w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS sequence
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+first AS (SELECT sequence, min(doc_id) AS least FROM windows GROUP BY sequence),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS place
+         FROM windows JOIN first USING (sequence) WHERE doc_id > least),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM w WHERE len(words) > 0),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+         FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""

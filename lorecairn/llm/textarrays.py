@@ -37,6 +37,10 @@ class _Powers:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
+    def __reduce__(self):
+        # A task's function may carry this object along; the powers are cheaper made than sent.
+        return (_Powers, ())
+
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 1 << 21)
