@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions import text
 from ..functions.vectors import hash_embedding
@@ -24,6 +25,7 @@ from .ranking import (
     clamp_similarity,
     largest,
     top_per_request,
+    with_limits,
 )
 
 #: Up to this many requests, and this many vector cells, travel with the scan.
@@ -34,28 +36,29 @@ DOCUMENT_BLOCK = 50_000
 REQUEST_BLOCK = 8_192
 #: Requests multiplied at a time, which bounds the score matrix in memory.
 STRIPE = 256
-#: Scores are compared at this precision, so equal vectors tie exactly.
-DIGITS = 6
+#: Relative error that a matrix product is trusted to stay below.
+SLACK = 1e-12
 
-_RESULT = "query_id long, key string, score double"
 
-
-def _scores(documents: np.ndarray, requests: np.ndarray, metric: str) -> np.ndarray:
+def _bounds(documents: np.ndarray, requests: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of every score from one matrix product; its rounding depends on where a row stands."""
+    products = documents @ requests.T
     if metric == "cosine":
         lengths = np.linalg.norm(documents, axis=1)[:, None] * np.linalg.norm(requests, axis=1)
-        products = documents @ requests.T
         values = np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
-    else:
-        squares = (
-            (documents**2).sum(axis=1)[:, None]
-            + (requests**2).sum(axis=1)
-            - 2.0 * (documents @ requests.T)
-        )
-        values = 1.0 - np.sqrt(np.maximum(squares, 0.0))
-        # The expanded square loses digits for near-identical vectors.
-        for row, column in zip(*np.nonzero(squares < 1e-6)):
-            values[row, column] = 1.0 - np.linalg.norm(documents[row] - requests[column])
-    return np.round(values, DIGITS) + 0.0
+        return values - SLACK, values + SLACK
+    squares = (documents**2).sum(axis=1)[:, None] + (requests**2).sum(axis=1)
+    distance, error = squares - 2.0 * products, SLACK * squares
+    return 1.0 - np.sqrt(np.maximum(distance, 0.0) + error), 1.0 - np.sqrt(np.maximum(distance - error, 0.0))
+
+
+def _exact(documents: np.ndarray, requests: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of pairs of rows, summed in one fixed order, so that copies tie exactly."""
+    if metric == "l2":
+        return 1.0 - np.sqrt(((documents - requests) ** 2).sum(axis=1))
+    lengths = np.sqrt((documents**2).sum(axis=1)) * np.sqrt((requests**2).sum(axis=1))
+    products = (documents * requests).sum(axis=1)
+    return np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0) + 0.0
 
 
 def _keep_best(found: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -76,18 +79,21 @@ def _best_of_batch(
     parts = []
     for start in range(0, len(ids), STRIPE):
         stop = start + STRIPE
-        scores = _scores(documents, requests[start:stop], metric)
-        # Everything at or above the k-th score stays until ties are settled by key.
-        kth = max(len(keys) - k, 0)
-        bar = np.maximum(np.partition(scores, kth, axis=0)[kth], floors[start:stop])
-        rows, columns = np.nonzero(scores >= bar)
+        low, high = _bounds(documents, requests[start:stop], metric)
+        # Whatever may reach the k-th score stays until exact scores, and then keys, decide.
+        kth = min(max(len(keys) - k, 0), len(keys) - 1)
+        bar = np.maximum(np.partition(low, kth, axis=0)[kth], floors[start:stop])
+        rows, columns = np.nonzero(high >= bar)
+        scores = _exact(documents[rows], requests[start:stop][columns], metric)
+        passing = scores >= floors[start:stop][columns]
+        rows, columns, scores = rows[passing], columns[passing], scores[passing]
         parts.append(
             _keep_best(
                 pd.DataFrame(
                     {
                         "query_id": ids[start:stop][columns],
                         "key": keys[rows],
-                        "score": scores[rows, columns],
+                        "score": scores,
                     }
                 ),
                 k,
@@ -119,51 +125,50 @@ def nearest(
 ) -> DataFrame:
     """Best documents per request: ``(query_id, rank, key, score)``.
 
-    ``requests`` has query_id, vector, max_results and min_score (null for no
-    threshold).  The score is the cosine, or 1 minus the L2 distance for
+    ``requests`` has query_id (any type), vector, max_results (10 if null) and
+    min_score (null for no threshold).  The score is the cosine, or 1 minus the L2 distance for
     ``metric="l2"``.  Vectors of another dimension are not compared.
     """
-    wanted = requests.select(
-        F.col("query_id").cast("long").alias("query_id"),
+    wanted = with_limits(requests).select(
+        "query_id",
         "vector",
-        F.col("max_results").cast("int").alias("max_results"),
+        "max_results",
         F.col("min_score").cast("double").alias("min_score"),
     ).where(F.size("vector") > 0)
     vectors = docs.select("key", "embedding").where(
         F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     )
+    result = StructType([wanted.schema["query_id"], StructField("key", StringType()), StructField("score", DoubleType())])
     limit = INLINE_VECTORS if inline is None else inline
     rows = bounded_rows(wanted, limit)
     if rows is not None and sum(len(r["vector"]) for r in rows) > INLINE_CELLS:
         rows = None
     if rows is not None:
         k = max((r["max_results"] for r in rows), default=0)
-        scored = _scan(vectors, rows, k, metric)
+        scored = _scan(vectors, rows, k, metric, result)
         limits = None
     else:
         k = largest(wanted, "max_results")
-        scored = _blocks(vectors, wanted, k, metric, document_block, request_block)
+        scored = _blocks(vectors, wanted, k, metric, document_block, request_block, result)
         limits = wanted.select("query_id", "max_results")
     order = [F.desc("score"), F.asc("key")]
     top = top_per_request(scored, ["query_id"], order, k)
     if rows is not None:
         per_request = {r["query_id"]: r["max_results"] for r in rows}
         if len(set(per_request.values())) > 1:
-            limits = docs.sparkSession.createDataFrame(
-                list(per_request.items()), "query_id long, max_results int"
-            )
+            limits = docs.sparkSession.createDataFrame(list(per_request.items()), wanted.select("query_id", "max_results").schema)
     if limits is not None:
         top = top.join(limits, "query_id").where(F.col("rank") <= F.col("max_results"))
     return top.select("query_id", "rank", "key", "score")
 
 
-def _scan(vectors: DataFrame, rows: list, k: int, metric: str) -> DataFrame:
+def _scan(vectors: DataFrame, rows: list, k: int, metric: str, result: StructType) -> DataFrame:
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r["vector"]), []).append(r)
     blocks = {
         size: (
-            np.array([r["query_id"] for r in group], dtype=np.int64),
+            np.array([r["query_id"] for r in group]),
             np.array([r["vector"] for r in group], dtype=np.float64),
             np.array(
                 [-np.inf if r["min_score"] is None else r["min_score"] for r in group], dtype=float
@@ -188,11 +193,17 @@ def _scan(vectors: DataFrame, rows: list, k: int, metric: str) -> DataFrame:
             yield _emit(kept)
 
     comparable = vectors.where(F.size("embedding").isin(*blocks)) if blocks else vectors.limit(0)
-    return comparable.mapInPandas(best, _RESULT)
+    return comparable.mapInPandas(best, result)
 
 
 def _blocks(
-    vectors: DataFrame, requests: DataFrame, k: int, metric: str, doc_block: int, request_block: int
+    vectors: DataFrame,
+    requests: DataFrame,
+    k: int,
+    metric: str,
+    doc_block: int,
+    request_block: int,
+    result: StructType,
 ) -> DataFrame:
     doc_blocks = max(1, -(-vectors.count() // doc_block))
     request_blocks = max(1, -(-requests.count() // request_block))
@@ -234,7 +245,7 @@ def _blocks(
         return _emit(kept)
 
     pair = ["db", "rb", "size"]
-    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(best, _RESULT)
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(best, result)
 
 
 def nearest_l2(docs: DataFrame, requests: DataFrame, inline: int | None = None) -> DataFrame:

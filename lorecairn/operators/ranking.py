@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Fixed values -------------------------------------------------------------
 MIN_RESULTS, MAX_RESULTS = 1, 20
 MIN_SIMILARITY, MAX_SIMILARITY = 0.1, 0.9
+#: Limits of a request that names none.
+DEFAULT_RESULTS, DEFAULT_SCORE = 10, 0.3
 #: Slack of a threshold test, so that a score equal to the threshold passes.
 EPSILON = 1e-9
 # ---------------------------------------------------------------------------
@@ -20,6 +22,14 @@ def clamp_similarity(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(MIN_SIMILARITY)), F.lit(MAX_SIMILARITY))
 
 
+def with_limits(requests: DataFrame, results: int = DEFAULT_RESULTS, score: float | None = None) -> DataFrame:
+    """``requests`` with its null limits filled in; a limit below 1 gives no rows."""
+    filled = requests.withColumn("max_results", F.coalesce(F.col("max_results").cast("int"), F.lit(results)))
+    if score is None:
+        return filled
+    return filled.withColumn("min_score", F.coalesce(F.col("min_score").cast("double"), F.lit(score)))
+
+
 def top_per_request(
     scored: DataFrame, by: list[str], order: list[Column], k: int, per_row: str | None = None
 ) -> DataFrame:

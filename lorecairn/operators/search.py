@@ -7,12 +7,13 @@ a large request table goes through equi joins.  Both ways give the same rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql.types import DataType
 
 from ..functions import text
 from ..functions.fuzzy import ratio
 from ..session import bounded_rows, cut_lineage
 from . import matching
-from .ranking import EPSILON, attach_documents, clamp_results, largest, top_per_request
+from .ranking import DEFAULT_SCORE, EPSILON, attach_documents, clamp_results, largest, top_per_request, with_limits
 
 #: Up to this many requests are inlined into the document scan.
 INLINE_REQUESTS = 64
@@ -23,7 +24,6 @@ INLINE_CHARS = 16_384
 # Field weights in tenths, so that scores are exact whole numbers until the end.
 TITLE, CONTENT, SUMMARY, TAGS = 10, 5, 8, 7
 FIELDS = 4
-MIN_SCORE = 0.3
 MAX_DISTANCE = 2
 RETRIEVE_LIMIT = 3
 LISTING_LIMIT = 20
@@ -47,7 +47,7 @@ def _inline(requests: DataFrame, inline: int | None) -> list[Row] | None:
 
 def _search_requests(requests: DataFrame) -> DataFrame:
     expanded = text.expand_terms(text.extract_terms(text.clean_query(F.col("query"))))
-    return requests.select(
+    return with_limits(requests, score=DEFAULT_SCORE).select(
         "query_id", "max_results", F.col("min_score").cast("double"), expanded.alias("terms")
     ).where(F.size("terms") > 0)
 
@@ -113,23 +113,23 @@ def smart_search(docs: DataFrame, requests: DataFrame, inline: int | None = None
     ``requests`` has query_id, query, max_results and min_score.  Every expanded
     term scores per field (title 1.0, summary 0.8, tags 0.7, content 0.5); the
     score is the mean over terms and fields.  A request without terms has no
-    results.
+    results; null limits are 10 results and a score of 0.3.
     """
     prepared = _search_requests(requests)
     rows = _inline(prepared, inline)
     if rows is not None:
         k = max((r["max_results"] for r in rows), default=0)
-        scored = _finish(_smart_scan(docs, rows))
+        scored = _finish(_smart_scan(docs, rows, prepared.schema["query_id"].dataType))
     else:
         k, scored = _smart_join(docs, prepared)
     top = top_per_request(scored, ["query_id"], _best_first(), k, "max_results")
     return top.select("query_id", "rank", "key", "score")
 
 
-def _smart_scan(docs: DataFrame, rows: list[Row]) -> DataFrame:
+def _smart_scan(docs: DataFrame, rows: list[Row], id_type: DataType) -> DataFrame:
     if not rows:
         return docs.limit(0).select(
-            F.lit(0).cast("long").alias("query_id"),
+            F.lit(None).cast(id_type).alias("query_id"),
             "key",
             "content",
             F.lit(0).alias("max_results"),
@@ -140,7 +140,7 @@ def _smart_scan(docs: DataFrame, rows: list[Row]) -> DataFrame:
     inlined = F.array(
         *[
             F.struct(
-                F.lit(r["query_id"]).alias("query_id"),
+                F.lit(r["query_id"]).cast(id_type).alias("query_id"),
                 F.lit(r["max_results"]).alias("max_results"),
                 F.lit(float(r["min_score"])).alias("min_score"),
                 matching.string_array(r["terms"]).alias("terms"),
@@ -289,7 +289,7 @@ def _fold(clauses: Column, found: Column) -> Column:
 
 
 def _text_requests(requests: DataFrame) -> DataFrame:
-    return requests.select(
+    return with_limits(requests).select(
         "query_id", "max_results", _clauses(F.col("query")).alias("clauses")
     ).where(F.size("clauses") > 0)
 
@@ -302,29 +302,29 @@ def fulltext_matches(
     rows = _inline(prepared, inline)
     searched = docs.where(F.col(column).isNotNull())
     if rows is not None:
-        return _fulltext_scan(searched, rows, column)
+        return _fulltext_scan(searched, rows, column, prepared.schema["query_id"].dataType)
     return _fulltext_join(searched, prepared, column)
 
 
 def fulltext_search(
     docs: DataFrame, requests: DataFrame, column: str = "content", inline: int | None = None
 ) -> DataFrame:
-    """First ``max_results`` matches per request by key: ``(query_id, rank, key)``."""
+    """First ``max_results`` (10 if null) matches per request by key: ``(query_id, rank, key)``."""
     matches = fulltext_matches(docs, requests, column, inline)
-    k = largest(requests, "max_results")
+    k = largest(with_limits(requests), "max_results")
     top = top_per_request(matches, ["query_id"], [F.asc("key")], k, "max_results")
     return top.select("query_id", "rank", "key")
 
 
-def _fulltext_scan(docs: DataFrame, rows: list[Row], column: str) -> DataFrame:
+def _fulltext_scan(docs: DataFrame, rows: list[Row], column: str, id_type: DataType) -> DataFrame:
     if not rows:
         return docs.limit(0).select(
-            F.lit(0).cast("long").alias("query_id"), "key", F.lit(0).alias("max_results")
+            F.lit(None).cast(id_type).alias("query_id"), "key", F.lit(0).alias("max_results")
         )
     inlined = F.array(
         *[
             F.struct(
-                F.lit(r["query_id"]).alias("query_id"),
+                F.lit(r["query_id"]).cast(id_type).alias("query_id"),
                 F.lit(r["max_results"]).alias("max_results"),
                 F.array(
                     *[
@@ -472,7 +472,7 @@ def retrieve_knowledge(docs: DataFrame, requests: DataFrame, inline: int | None
 
 def _fuzzy_requests(requests: DataFrame) -> DataFrame:
     cleaned = text.clean_query(F.col("query"))
-    return requests.select(
+    return with_limits(requests, score=DEFAULT_SCORE).select(
         "query_id",
         "max_results",
         F.col("min_score").cast("double"),
@@ -483,7 +483,7 @@ def _fuzzy_requests(requests: DataFrame) -> DataFrame:
 
 def _length_bound(document: Column, query: Column) -> Column:
     """Largest ratio two texts of these lengths can reach."""
-    return 2.0 * F.least(document, query) / (document + query)
+    return F.coalesce(2.0 * F.least(document, query) / F.nullif(document + query, F.lit(0)), F.lit(1.0))
 
 
 def fuzzy_search(docs: DataFrame, requests: DataFrame, inline: int | None = None) -> DataFrame:
@@ -491,7 +491,8 @@ def fuzzy_search(docs: DataFrame, requests: DataFrame, inline: int | None = None
 
     Candidates contain a request term in title or content.  The ratio of the
     whole text to the whole cleaned request is only computed where the lengths
-    allow the threshold.
+    allow the threshold.  Null limits are 10 results and a score of 0.3; a threshold
+    of 0 or less accepts every candidate.
     """
     prepared = _fuzzy_requests(requests).withColumn("query_size", F.length("cleaned"))
     searched = F.concat(F.col("title"), F.lit(" "), F.col("content"))
@@ -499,9 +500,10 @@ def fuzzy_search(docs: DataFrame, requests: DataFrame, inline: int | None = None
     # No request can accept a document longer than the loosest of them does.
     bounds = prepared.agg(
         F.max("max_results").alias("k"),
-        F.max(F.col("query_size") * (2.0 / F.col("min_score") - 1.0)).alias("longest"),
+        F.max(F.when(F.col("min_score") > 0, F.col("query_size") * (2.0 / F.col("min_score") - 1.0))).alias("longest"),
+        F.max((F.col("min_score") <= 0).cast("int")).alias("any_length"),
     ).first()
-    if bounds["longest"] is not None:
+    if bounds["longest"] is not None and not bounds["any_length"]:
         sized = sized.where(F.col("size") <= bounds["longest"] + 1.0)
     fits = _length_bound(F.col("size"), F.col("query_size")) >= F.col("min_score") - EPSILON
     wanted = prepared.select(
@@ -566,7 +568,8 @@ def typo_search(
     max_distance: int = MAX_DISTANCE,
     inline: int | None = None,
 ) -> DataFrame:
-    """Best typo-tolerant matches per request, filtered by ``min_score``."""
+    """Best typo-tolerant matches per request, filtered by ``min_score``; null limits are 10 and 0.3."""
+    requests = with_limits(requests, score=DEFAULT_SCORE)
     limits = requests.select("query_id", "max_results", "min_score")
     scored = (
         typo_matches(docs, requests, max_distance, inline)

@@ -60,7 +60,7 @@ TABLES = {
                'r' || CAST(conv_id % 7 AS VARCHAR) AS topic_key, turn
         FROM conversations WHERE role = 'assistant'""",
     "kb_queries": """
-        SELECT conv_id * 1000 + turn AS query_id, substr(text, 1, 80) AS query,
+        SELECT conv_id * 1000 + turn AS query_id, text AS query,
                5 AS max_results, CAST(0.3 AS DOUBLE) AS min_score
         FROM conversations WHERE role = 'user'""",
 }

@@ -88,7 +88,7 @@ def euclidean_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TOP = """
-    SELECT query_id, CAST(rank AS INTEGER) AS rank, key, score
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, key, round(score, 6) AS score
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank
           FROM scored)
     WHERE rank <= max_results"""
@@ -96,6 +96,11 @@ _VECTORS = """SELECT key, CAST(embedding AS DOUBLE[]) AS v FROM kb_embedded
               WHERE embedding IS NOT NULL"""
 
 
+def _shown(results: DataFrame) -> DataFrame:
+    """Scores rounded for the comparison, after ranking."""
+    return results.withColumn("score", F.round("score", 6))
+
+
 def _wave() -> Column:
     """A fixed 64-dimensional request vector."""
     return F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.cos(i.cast("double")))
@@ -120,12 +125,12 @@ def _wave_request(spark: SparkSession, max_results: int, min_score: float | None
         "kb_embedded",
         vectors=_VECTORS,
         scored=f"""SELECT CAST(1 AS BIGINT) AS query_id, key, 25 AS max_results,
-                          round(1 - list_distance(v, {_WAVE_CHECK}), 6) AS score FROM vectors""",
+                          1 - list_distance(v, {_WAVE_CHECK}) AS score FROM vectors""",
     ),
 )
 def knn_l2(spark: SparkSession, folder: str) -> DataFrame:
     docs = derived.kb_documents(spark, folder, embedded=True)
-    return nearest.nearest_l2(docs, _wave_request(spark, 25, None))
+    return _shown(nearest.nearest_l2(docs, _wave_request(spark, 25, None)))
 
 
 @register(
@@ -136,13 +141,13 @@ def knn_l2(spark: SparkSession, folder: str) -> DataFrame:
         vectors=_VECTORS,
         scored=f"""SELECT * FROM (
                        SELECT CAST(1 AS BIGINT) AS query_id, key, 50 AS max_results,
-                              round(list_cosine_similarity(v, {_WAVE_CHECK}), 6) AS score
+                              list_cosine_similarity(v, {_WAVE_CHECK}) AS score
                        FROM vectors) WHERE score >= 0.1""",
     ),
 )
 def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
     docs = derived.kb_documents(spark, folder, embedded=True)
-    return nearest.nearest(docs, _wave_request(spark, 50, 0.1))
+    return _shown(nearest.nearest(docs, _wave_request(spark, 50, 0.1)))
 
 
 @register(
@@ -153,7 +158,7 @@ def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
         vectors=_VECTORS,
         scored="""SELECT * FROM (
                       SELECT e.vec_id AS query_id, key, 5 AS max_results,
-                             round(list_cosine_similarity(v, CAST(e.embedding AS DOUBLE[])), 6) AS score
+                             list_cosine_similarity(v, CAST(e.embedding AS DOUBLE[])) AS score
                       FROM vectors, embeddings e) WHERE score >= 0.1""",
     ),
 )
@@ -164,7 +169,7 @@ def knn_batch(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(5).alias("max_results"),
         F.lit(0.1).alias("min_score"),
     )
-    return nearest.nearest(derived.kb_documents(spark, folder, embedded=True), requests)
+    return _shown(nearest.nearest(derived.kb_documents(spark, folder, embedded=True), requests))
 
 
 _TEXTS = [
@@ -197,7 +202,8 @@ _TEXTS = [
                       SELECT CAST(p.query_id AS BIGINT) AS query_id, p.key,
                              least(greatest(r.max_results, 1), 20) AS max_results,
                              least(greatest(r.min_score, 0.1), 0.9) AS floor,
-                             round(product / (dn.norm * qn.norm), 6) AS score
+                             -- sums come in any order here; twelve digits make copies tie
+                             round(product / (dn.norm * qn.norm), 12) AS score
                       FROM products p JOIN requests r ON r.query_id = p.query_id
                       JOIN doc_norms dn ON dn.key = p.key
                       JOIN request_norms qn ON qn.key = p.query_id)
@@ -209,5 +215,5 @@ def semantic_search(spark: SparkSession, folder: str) -> DataFrame:
     asked = spark.createDataFrame(
         _TEXTS, "query_id long, query string, max_results int, min_score double"
     )
-    found = nearest.semantic_search(nearest.embed_documents(docs), asked)
+    found = _shown(nearest.semantic_search(nearest.embed_documents(docs), asked))
     return found.select("query_id", "rank", "key", "score", "title", "preview", "tags", "created")

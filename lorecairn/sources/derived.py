@@ -178,7 +178,7 @@ def kb_queries(
         .where("role = 'user'")
         .select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-            F.substring("text", 1, 80).alias("query"),
+            F.col("text").alias("query"),
             F.lit(max_results).alias("max_results"),
             F.lit(min_score).alias("min_score"),
         )

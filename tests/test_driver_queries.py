@@ -11,7 +11,7 @@ def db(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.TRAINING_QUERIES)))
 def test_query_equals_its_sql(spark, db, folder, name):
     problem, rows = difference(spark, db, name, folder)
     assert problem == ""
@@ -20,7 +20,7 @@ def test_query_equals_its_sql(spark, db, folder, name):
 
 def test_every_check_belongs_to_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"fuzzy_search"}
+    assert set(contract.queries()) - set(contract.oracle_sql()) - set(contract.TRAINING_QUERIES) == {"fuzzy_search"}
 
 
 def test_entry_gives_rows(spark):

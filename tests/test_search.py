@@ -255,3 +255,23 @@ def test_blank_prefix_suggests_tags_and_words_keep_punctuation(spark, docs):
     asked = requests(spark, ("!", 2, None), ("g", 5, None))
     got = rows(suggest.suggest_terms(docs, asked).select("query_id", "rank", "term", "source"))
     assert got == [(1, 1, "x", "tag"), (1, 2, "y", "tag"), (2, 1, "Go", "tag"), (2, 2, "go", "tag")]
+
+
+@pytest.mark.parametrize("find", [search.smart_search, search.fulltext_search, search.fuzzy_search, search.typo_search])
+def test_both_ways_agree_on_types_and_limits(spark, docs, find):
+    rows = [("n", "running things", None, None), ("z", "running things", 0, 0.3), ("m", "running things", -1, -0.5)]
+    rows += [("o", "running things", 2, 0.0), ("p", "other nothing", 1, 1.0), ("e", "", 5, 0.1)]
+    asked = spark.createDataFrame(rows, "query_id string, query string, max_results int, min_score double")
+    small, large = find(docs, asked), find(docs, asked, inline=0)
+    assert [(f.name, f.dataType) for f in small.schema] == [(f.name, f.dataType) for f in large.schema]
+    assert sorted(small.collect()) == sorted(large.collect())
+    found = [r["query_id"] for r in small.collect()]
+    assert found.count("n") > 0 and "z" not in found and "m" not in found
+
+
+def test_fuzzy_threshold_of_zero_accepts_every_candidate(spark, docs):
+    # Candidates have a term in title or content; "c" has one in its summary only.
+    kind = "query_id int, query string, max_results int, min_score double"
+    for least in (0.0, -1.0):
+        asked = spark.createDataFrame([(1, "running things", 50, least)], kind)
+        assert {r["key"] for r in search.fuzzy_search(docs, asked).collect()} == {"a", "d", "e"}

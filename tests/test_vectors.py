@@ -70,9 +70,9 @@ def brute(documents, wanted, metric):
             a, b = np.array(d["embedding"], float), np.array(q["vector"], float)
             if metric == "cosine":
                 lengths = np.linalg.norm(a) * np.linalg.norm(b)
-                score = round(float(a @ b / lengths), 6) if lengths else 0.0
+                score = float(a @ b / lengths) if lengths else 0.0
             else:
-                score = round(float(1 - np.linalg.norm(a - b)), 6)
+                score = float(1 - np.linalg.norm(a - b))
             if q["min_score"] is None or score >= q["min_score"]:
                 scored.append((-score, d["key"]))
         for rank, (s, key) in enumerate(sorted(scored)[: q["max_results"]], 1):
@@ -80,6 +80,33 @@ def brute(documents, wanted, metric):
     return sorted(out)
 
 
+def shown(results):
+    """Rows with the score rounded for the comparison, after ranking."""
+    return sorted((*tuple(r)[:3], round(r["score"], 6) + 0.0) for r in results.collect())
+
+
+@pytest.mark.parametrize("inline", [None, 0])
+def test_scores_are_ranked_before_they_are_rounded(spark, inline):
+    docs = spark.createDataFrame([("a", [1.0, 0.0004]), ("b", [1.0, 0.0])], "key string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0], 1, None)], "query_id string, vector array<float>, max_results int, min_score double")
+    (row,) = nearest.nearest(docs, asked, "cosine", inline).collect()
+    assert (row["query_id"], row["key"]) == ("q", "b")
+
+
+@pytest.mark.parametrize("inline", [None, 0])
+def test_distance_of_long_vectors(spark, inline):
+    base = np.random.default_rng(1).normal(0, 2e4, 100).astype(np.float32)
+    other = base.copy()
+    other[3] += np.float32(0.0625)
+    rows = [("a", base.tolist()), ("b", other.tolist())]
+    docs = spark.createDataFrame(rows, "key string, embedding array<float>")
+    asked = spark.createDataFrame([(1, base.tolist(), None, None)], "query_id int, vector array<float>, max_results int, min_score double")
+    got = nearest.nearest(docs, asked, "l2", inline)
+    assert got.schema["query_id"].dataType.simpleString() == "int"
+    exact = 1 - float(np.linalg.norm(base.astype(float) - other.astype(float)))
+    assert [(r["key"], r["score"]) for r in got.orderBy("rank").collect()] == [("a", 1.0), ("b", pytest.approx(exact, abs=1e-12))]
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 @pytest.mark.parametrize("inline", [None, 0])
 def test_nearest_on_awkward_vectors(spark, docs, metric, inline):
@@ -88,7 +115,7 @@ def test_nearest_on_awkward_vectors(spark, docs, metric, inline):
         "query_id long, vector array<float>, max_results int, min_score double",
     )
     got = nearest.nearest(docs, asked, metric, inline, document_block=2, request_block=2)
-    assert sorted(tuple(r) for r in got.collect()) == brute(docs.collect(), asked.collect(), metric)
+    assert shown(got) == brute(docs.collect(), asked.collect(), metric)
 
 
 def test_copies_tie_by_key_in_both_ways(spark):
@@ -101,7 +128,7 @@ def test_copies_tie_by_key_in_both_ways(spark):
     expected = brute(docs.collect(), asked.collect(), "cosine")
     for inline in (None, 0):
         got = nearest.nearest(docs, asked, "cosine", inline, document_block=30, request_block=2)
-        assert sorted(tuple(r) for r in got.collect()) == expected
+        assert shown(got) == expected
 
 
 def test_semantic_search_clamps(spark, docs):
@@ -110,7 +137,7 @@ def test_semantic_search_clamps(spark, docs):
         [(1, "Copy  The thing was RUNNING, fast things.", 0, 5.0)],
         "query_id long, query string, max_results int, min_score double",
     )
-    assert [(r["key"], r["score"]) for r in nearest.semantic_search(embedded, asked).collect()] == [("d", 1.0)]
+    assert [(r["key"], round(r["score"], 6)) for r in nearest.semantic_search(embedded, asked).collect()] == [("d", 1.0)]
 
 
 def test_native_scoring_agrees_with_the_matrix_way(spark, folder):
@@ -121,5 +148,5 @@ def test_native_scoring_agrees_with_the_matrix_way(spark, folder):
         docs.select("key", F.round(vectors.cosine_similarity(F.col("embedding"), F.array(*[F.lit(x) for x in vector])), 6).alias("score"))
         .orderBy(F.desc("score"), "key").limit(7)
     )
-    got = nearest.nearest(docs, asked).orderBy("rank").select("key", "score")
+    got = nearest.nearest(docs, asked).orderBy("rank").select("key", F.round("score", 6).alias("score"))
     assert got.collect() == native.collect()
