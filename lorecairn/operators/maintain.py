@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
 from ..functions.vectors import hash_embedding
 from .. import schemas
+from ..session import cut_lineage
 from .graph import document_id, topic_id
 from .replay import apply_tag_changes, fold_tag_operations
 
@@ -32,6 +33,18 @@ def content_key(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *columns), 256)
 
 
+def with_keys(commands: DataFrame, *columns: str) -> DataFrame:
+    """``commands`` with a key in every row: repeats of one content are numbered, so each gets its own."""
+    hashed = commands.withColumn("__content", content_key(*columns))
+    order = [F.col(c) for c in ("seq",) if c in commands.columns] or [F.monotonically_increasing_id()]
+    nth = F.row_number().over(Window.partitionBy("__content").orderBy(*order))
+    # Only rows without a key are numbered.
+    bare = hashed.where("key is null").withColumn("__nth", nth)
+    made = F.when(F.col("__nth") == 1, F.col("__content")).otherwise(F.concat_ws("-", "__content", "__nth"))
+    named = bare.withColumn("key", made).select(*commands.columns)
+    return hashed.where("key is not null").select(*commands.columns).unionByName(named)
+
+
 def _known(commands: DataFrame, table: DataFrame, column: str, flag: str) -> DataFrame:
     """Add ``flag``: whether ``column`` is a key of ``table``."""
     keys = table.select(F.col("key").alias(column), F.lit(True).alias(flag))
@@ -49,7 +62,7 @@ def new_documents(commands: DataFrame, now: str) -> DataFrame:
 
     Key, summary and creator may be null.
     """
-    keyed = commands.withColumn("key", F.coalesce("key", content_key("title", "content")))
+    keyed = with_keys(commands, "title", "content")
     metadata = F.struct(
         F.lit(schemas.DEFAULT_SOURCE).alias("source"),
         F.coalesce("creator", F.lit(schemas.DEFAULT_CREATOR)).alias("creator"),
@@ -82,12 +95,22 @@ def topic_links(pairs: DataFrame, now: str) -> DataFrame:
     )
 
 
-def store_documents(commands: DataFrame, topics: DataFrame, now: str) -> Change:
+def store_documents(
+    commands: DataFrame, topics: DataFrame, now: str, docs: DataFrame | None = None
+) -> Change:
     """New documents and topic links of a batch of store commands.
 
-    A document whose topic does not exist is stored without a link.
+    A document whose topic does not exist is stored without a link.  With ``docs``, the
+    documents so far, commands with a key that is there already are refused, and so
+    are all but one of the commands that name one key; keyless copies are numbered.
     """
-    keyed = commands.withColumn("key", F.coalesce("key", content_key("title", "content")))
+    keyed = with_keys(commands, "title", "content")
+    refused = None
+    if docs is not None:
+        first = F.row_number().over(Window.partitionBy("key").orderBy("title", "content"))
+        judged = _known(keyed.withColumn("first", first), docs, "key", "taken")
+        refused = judged.where("taken or first > 1").select("key", F.lit("key_exists").alias("status"))
+        keyed = judged.where("not taken and first = 1").select(*commands.columns)
     checked = _known(
         keyed.select("key", F.nullif("topic_key", F.lit("")).alias("topic_key")),
         topics,
@@ -102,8 +125,8 @@ def store_documents(commands: DataFrame, topics: DataFrame, now: str) -> Change:
         .alias("status"),
     )
     return Change(
-        outcomes=outcomes,
-        documents=new_documents(commands, now),
+        outcomes=outcomes if refused is None else outcomes.unionByName(refused),
+        documents=new_documents(keyed, now),
         links=topic_links(checked.where("topic_known"), now),
     )
 
@@ -196,12 +219,28 @@ def delete_documents(docs: DataFrame, links: DataFrame, keys: DataFrame) -> Chan
 
 
 def create_topics(topics: DataFrame, commands: DataFrame, now: str) -> Change:
-    """Create topics from key, name, description and parent_topic; an unknown parent is refused."""
-    keyed = commands.withColumn("key", F.coalesce("key", content_key("name", "description")))
+    """Create topics from key, name, description and parent_topic.
+
+    A key that is there already is refused, and so is an unknown parent; a parent may come
+    from the same table.  Keyless copies are numbered.
+    """
+    keyed = with_keys(commands, "name", "description")
     wanted = keyed.withColumn("parent_topic", _blank_to_null("parent_topic"))
-    checked = _known(wanted, topics, "parent_topic", "parent_known").withColumn(
-        "accepted", F.col("parent_topic").isNull() | F.col("parent_known")
+    first = F.row_number().over(Window.partitionBy("key").orderBy("name", "description"))
+    fresh = _known(wanted.withColumn("first", first), topics, "key", "taken").withColumn(
+        "taken", F.col("taken") | (F.col("first") > 1)
     )
+    # A parent may be created by the same table: each pass accepts one more level below what exists.
+    judged = cut_lineage(fresh.withColumn("accepted", ~F.col("taken") & F.col("parent_topic").isNull()))
+    before = -1
+    while (accepted := judged.where("accepted").count()) != before:
+        before = accepted
+        there = topics.select("key").unionByName(judged.where("accepted").select("key"))
+        step = _known(judged, there, "parent_topic", "parent_known")
+        judged = cut_lineage(
+            step.withColumn("accepted", ~F.col("taken") & (F.col("parent_topic").isNull() | F.col("parent_known"))).drop("parent_known")
+        )
+    checked = judged
     metadata = F.create_map(
         F.lit("created"),
         F.lit(now),
@@ -214,7 +253,8 @@ def create_topics(topics: DataFrame, commands: DataFrame, now: str) -> Change:
         "key", "name", "description", "parent_topic", metadata.alias("metadata")
     )
     outcomes = checked.select(
-        "key", F.when(F.col("accepted"), "created").otherwise("parent_not_found").alias("status")
+        "key",
+        F.when(F.col("taken"), "key_exists").when(F.col("accepted"), "created").otherwise("parent_not_found").alias("status"),
     )
     return Change(outcomes=outcomes, topics=created)
 

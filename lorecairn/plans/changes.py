@@ -203,10 +203,11 @@ def delete_documents(spark: SparkSession, folder: str) -> DataFrame:
     "create_topics",
     sql.query(
         f"""SELECT 'topic' AS kind, {_text_row('c.key', 'c.name', 'c.description', 'c.parent')} AS row
-            FROM commands c WHERE parent IS NULL OR parent IN (SELECT key FROM kb_topics)
+            FROM commands c WHERE (parent IS NULL OR parent IN (SELECT key FROM kb_topics))
+                  AND key NOT IN (SELECT key FROM kb_topics)
             UNION ALL
-            SELECT 'outcome', c.key || '|' || CASE WHEN parent IS NULL
-                       OR parent IN (SELECT key FROM kb_topics) THEN 'created'
+            SELECT 'outcome', c.key || '|' || CASE WHEN key IN (SELECT key FROM kb_topics) THEN 'key_exists'
+                       WHEN parent IS NULL OR parent IN (SELECT key FROM kb_topics) THEN 'created'
                        ELSE 'parent_not_found' END
             FROM commands c""",
         "kb_topics",

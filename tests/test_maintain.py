@@ -277,3 +277,23 @@ def test_tables_append_snapshot_and_lines(spark, docs, tmp_path):
     tables.write_lines(records.encode_documents(docs), str(tmp_path / "lines"))
     back = records.decode_documents(tables.read_lines(spark, str(tmp_path / "lines")))
     assert records.accepted(back).count() == 6
+
+
+def test_keys_are_guarded_and_copies_numbered(spark, docs):
+    kind = "key string, title string, content string, tags_csv string, summary string, creator string, topic_key string"
+    rows = [(None, "t", "same", "", None, None, None)] * 3 + [("a", "x", "y", "", None, None, None), ("new", "x", "y", "", None, None, None)]
+    topics = spark.createDataFrame([("r", "r", None, None, None)], "key string, name string, description string, parent_topic string, metadata map<string,string>")
+    change = maintain.store_documents(spark.createDataFrame(rows, kind), topics, NOW, docs)
+    stored = [r["key"] for r in change.documents.collect()]
+    assert len(stored) == len(set(stored)) == 4 and "new" in stored and "a" not in stored
+    assert {r["status"] for r in change.outcomes.where("key = 'a'").collect()} == {"key_exists"}
+
+
+def test_topics_may_follow_parents_of_the_same_table(spark):
+    kind = "key string, name string, description string, parent_topic string"
+    topics = spark.createDataFrame([("r", "r", None, None)], kind)
+    rows = [("c", "c", "", "b"), ("b", "b", "", "a"), ("a", "a", "", "r"), ("r", "again", "", ""), ("x", "x", "", "y"), ("y", "y", "", "x"), ("z", "z", "", "zz")]
+    change = maintain.create_topics(topics, spark.createDataFrame(rows, kind), NOW)
+    found = {r["key"]: r["status"] for r in change.outcomes.collect()}
+    assert found == {"a": "created", "b": "created", "c": "created", "r": "key_exists", "x": "parent_not_found", "y": "parent_not_found", "z": "parent_not_found"}
+    assert {r["key"] for r in change.topics.collect()} == {"a", "b", "c"}
