@@ -10,14 +10,14 @@ A shared passage alone puts no two documents in one tile.  Sets with so many emp
 ranges that the count fails also get tiles of their smallest hashes (prefix
 filter), so no link is lost.
 
-*Stars.*  Each member of a tile is first compared with the tile's smallest id, one
-pair per member: the pair with most common tiles first, then those that would still
-join two components.
+*Stars.*  Each member of a tile is a pair with the tile's smallest id.  The pair with
+most common tiles is compared first, one for every member.
 
-*Rest.*  A tile that still holds several components is compared block by block: bit
-tables of 2,048 bits bound each intersection from above by counting bits.  Pairs of
-one component are skipped, and the few others that pass are intersected as
-sorted arrays.
+*Rest.*  Tiles with common members make a cluster, which no link leaves.  A cluster
+that still holds several components is compared block by block: bit tables of
+2,048 bits bound each intersection from above by counting bits, and what passes is
+intersected as sorted arrays.  Pairs of one component are skipped, also of those
+that have just met, so a task sends at most one link per member.
 
 Documents of equal sets are one node from the start.  A block of documents sends a
 tile's name once, so a group of copies of any size sends a few rows per block.
@@ -310,24 +310,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").mapInArrow(exact, "a long, b long").distinct()
 
 
-def _tile_pairs(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one tile that the bit counts do not rule out.
+def _cluster_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within clusters.
 
-    ``members`` has tile, node and component; tiles are cut into blocks of bounded size.
+    ``members`` has cluster, node and component; clusters are cut into blocks of
+    bounded size, and every two blocks of a cluster meet in one task.
     """
-    sizes = members.groupBy("tile").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("who"))
-    # Tiles with the same members are compared once.
-    once = sizes.groupBy("n", "who").agg(F.min("tile").alias("tile")).select("tile", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("blocks"))
-    placed = members.join(once, "tile").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
-    # Block i meets every block j >= i: each member goes to as many comparisons as there are blocks.
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
+    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Each member goes to as many comparisons as there are blocks.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread_out = placed.withColumn("other", other).select(
-        F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
+        F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
         (F.col("block") > F.col("other")).alias("right"),
         "node",
         "component",
     )
-    rows = spread_out.join(bits.withColumnRenamed("doc", "node"), "node").repartition("task").sortWithinPartitions("task")
+    rows = spread_out.join(sets.withColumnRenamed("doc", "node"), "node").repartition("task").sortWithinPartitions("task")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -347,25 +346,38 @@ def _tile_pairs(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 def _compare_tasks(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     if not table.num_rows:
         return
-    task, node, component, size = (table.column(x).to_numpy() for x in ("task", "node", "component", "size"))
+    task, node, component = (table.column(x).to_numpy() for x in ("task", "node", "component"))
     right = table.column("right").to_numpy(zero_copy_only=False)
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(sets), -1)
+    size = np.array([len(x) for x in sets])
     head = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
+    found: list[tuple[int, int]] = []
     for lo, hi in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):
         group = np.arange(lo, hi)
         ahead, behind = group[~right[lo:hi]], group[right[lo:hi]]
         # A block against itself has no right side.
         behind = behind if len(behind) else ahead
-        found: list[np.ndarray] = []
+        parent = {c: c for c in component[lo:hi].tolist()}
+
+        def root(c: int, parent: dict[int, int] = parent) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
         for i in ahead.tolist():
             rest = behind[component[behind] != component[i]]
             rest = rest[links(np.minimum(size[rest], size[i]), size[rest], size[i], percent)]
-            if len(rest):
-                rest = rest[links(most_common(bits[i], bits[rest], size[i], size[rest]), size[rest], size[i], percent)]
-                found.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i])]))
-        if found:
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if not len(rest):
+                continue
+            rest = rest[links(most_common(bits[i], bits[rest], size[i], size[rest]), size[rest], size[i], percent)]
+            for j in rest.tolist():
+                a, b = root(int(component[i])), root(int(component[j]))
+                if a != b and links(_common(sets[i], sets[j]), size[i], size[j], percent):
+                    parent[max(a, b)] = min(a, b)
+                    found.append((int(node[i]), int(node[j])))
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], ["a", "b"])
 
 
 def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -390,33 +402,14 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     edges = cut_lineage(verified(best, sets, percent).unionByName(by_digest))
     labels = components(edges)
 
-    def apart(table: DataFrame, *sides: str) -> DataFrame:
-        for side in sides:
-            found = labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
-            table = table.join(found, side, "left").withColumn(f"{side}_component", F.coalesce(f"{side}_component", side))
-        return table
-
-    left = apart(pairs.join(best, ["a", "b"], "left_anti"), "a", "b").where("a_component <> b_component")
-    more = cut_lineage(verified(left.select("a", "b"), sets, percent))
-    if not more.isEmpty():
-        edges = cut_lineage(edges.unionByName(more))
-        labels = components(edges)
-    split = apart(star, "leader", "member")
-    open_tiles = split.groupBy("tile").agg(F.count("*").alias("n"), F.max((F.col("leader_component") != F.col("member_component")).cast("int")).alias("open"))
-    # With one star pair, a tile has been compared as a whole.
-    open_tiles = open_tiles.where("open = 1 and n > 1").select("tile")
-    inside = split.join(open_tiles, "tile", "left_semi")
-    for side in ("leader", "member"):
-        inside = inside.join(nodes.select(F.col("doc").alias(side), F.col("rep").alias(f"{side}_rep")), side)
-    members = inside.select("tile", F.col("leader_rep").alias("node"), F.col("leader_component").alias("component")).unionByName(
-        inside.select("tile", F.col("member_rep").alias("node"), F.col("member_component").alias("component"))
-    )
-    members = cut_lineage(members.distinct())
+    # Sets that share tiles, directly or by others, make a cluster; links never leave it.
+    clusters = components(pairs).withColumnRenamed("component", "cluster")
+    members = clusters.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # A cluster of two has been compared as a whole.
+    several = members.groupBy("cluster").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+    members = cut_lineage(members.join(several.where("n > 2 and x <> y"), "cluster", "left_semi"))
     if not members.isEmpty():
-        bits = sets.select("doc", "bits", (F.octet_length("hashes") / 8).cast("long").alias("size"))
-        compared = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = cut_lineage(_tile_pairs(members, bits, percent).join(compared, ["a", "b"], "left_anti"))
-        rest = cut_lineage(verified(found, sets, percent))
+        rest = cut_lineage(_cluster_links(members, sets, percent))
         if not rest.isEmpty():
             labels = components(edges.unionByName(rest))
     named = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
