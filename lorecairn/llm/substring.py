@@ -36,7 +36,8 @@ LENGTH = 50
 #: One posting: hash of the window, id and text of its document, place in it.
 _HALF = {"key": np.dtype("<u8"), "doc": np.dtype("<i8"), "text_key": np.dtype("<i4"), "at": np.dtype("<i4"), "known": np.dtype("?")}
 _WHOLE = {"key": np.dtype("<u8"), "check": np.dtype("<u4"), "doc": np.dtype("<i8"), "text_key": np.dtype("<i4"), "at": np.dtype("<i4"), "known": np.dtype("?")}
-_PLACES = "doc_id long, text_key int, at array<int>"
+_PLACE = {"doc": np.dtype("<i8"), "text_key": np.dtype("<i4"), "at": np.dtype("<i4")}
+_PLACES = "id long, text_key int, at array<int>"
 
 
 def _smallest(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -114,20 +115,34 @@ def _whole_runs(own: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _places(own: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One row per document with the places found in this task."""
+def _places(own: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The places found in this task, packed by bucket of documents: few rows, however many documents."""
+    bucket = (mix(own["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    yield from pack(bucket, {name: own[name].astype(kind) for name, kind in _PLACE.items()})
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with all places found anywhere; a task has all entries of its documents."""
+    own = unpack(batches, _PLACE)
     if not len(own["doc"]):
         return
     order = np.lexsort((own["at"], own["text_key"], own["doc"]))
-    doc, text, at = own["doc"][order], own["text_key"][order], own["at"][order]
-    head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(at)).astype(np.int32)), pa.array(at.astype(np.int32)))
-    yield pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(text[head]), lists], ["doc_id", "text_key", "at"])
+    doc, text, at = (own[name][order] for name in ("doc", "text_key", "at"))
+    other = np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))
+    fresh = other | np.append(True, at[1:] != at[:-1])
+    doc, text, at, head = doc[fresh], text[fresh], at[fresh], np.flatnonzero(other[fresh])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(at)).astype(np.int32)), pa.array(at))
+    yield pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(text[head]), lists], ["id", "text_key", "at"])
+
+
+def _document_buckets(docs: DataFrame) -> int:
+    return max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _repeated_halves(docs: DataFrame, length: int) -> DataFrame:
     half = (length + 1) // 2
     width = length - half + 1
+    buckets = _document_buckets(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(_HALF, _thin_half)
@@ -155,14 +170,16 @@ def _repeated_halves(docs: DataFrame, length: int) -> DataFrame:
         if len(run):
             several = (open_["doc"][head] != open_["doc"][np.append(head[1:], len(run)) - 1])[run]
             open_ = {name: values[several] for name, values in open_.items()}
-        yield from _places({name: np.concatenate([sure[name], open_[name]]) for name in own})
+        yield from _places({name: np.concatenate([sure[name], open_[name]]) for name in own}, buckets)
 
-    return spread(docs.mapInArrow(send, packed_schema(_HALF))).mapInArrow(compare, _PLACES)
+    met = spread(docs.mapInArrow(send, packed_schema(_HALF))).mapInArrow(compare, packed_schema(_PLACE))
+    return spread(met).mapInArrow(_gather, _PLACES)
 
 
 def _repeated_wholes(found: DataFrame, length: int) -> DataFrame:
     """``found`` has text and the places of its repeated half windows."""
     half = (length + 1) // 2
+    buckets = _document_buckets(found)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(_WHOLE, _thin_whole)
@@ -194,9 +211,10 @@ def _repeated_wholes(found: DataFrame, length: int) -> DataFrame:
         if len(run):
             gone = open_["doc"] > open_["doc"][head][run]
             open_ = {name: values[gone] for name, values in open_.items()}
-        yield from _places({name: np.concatenate([sure[name], open_[name]]) for name in own})
+        yield from _places({name: np.concatenate([sure[name], open_[name]]) for name in own}, buckets)
 
-    return spread(found.mapInArrow(send, packed_schema(_WHOLE))).mapInArrow(compare, _PLACES)
+    met = spread(found.mapInArrow(send, packed_schema(_WHOLE))).mapInArrow(compare, packed_schema(_PLACE))
+    return spread(met).mapInArrow(_gather, _PLACES)
 
 
 def _windows_asked(rows: int, first: np.ndarray, places: pa.Array, lo: int, length: int, half: int, n: int) -> np.ndarray:
@@ -209,12 +227,6 @@ def _windows_asked(rows: int, first: np.ndarray, places: pa.Array, lo: int, leng
     return np.cumsum(change[:n]) > 0
 
 
-def _together(places: DataFrame) -> DataFrame:
-    """All places of a document in one list, which its length bounds."""
-    found = F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")
-    return places.groupBy(F.col("doc_id").alias("id"), "text_key").agg(found)
-
-
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` (doc_id, text) with at: starts of the windows that go (null: none).
 
@@ -230,9 +242,9 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     known = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.lit(False), "text").alias("text_key"), "text"
     )
-    halves = _together(_repeated_halves(known, length))
+    halves = _repeated_halves(known, length)
     found = keyed.join(halves, ["id", "text_key"]).select("doc_id", "text", F.col("id"), "text_key", "at")
-    wholes = _together(_repeated_wholes(found, length))
+    wholes = _repeated_wholes(found, length)
     return keyed.join(wholes, ["id", "text_key"], "left").select("doc_id", "text", "at")
 
 
