@@ -1,4 +1,4 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by exact word counts, common subsequences and latent cosines.
 
 1. Words are hashed to features, whose document frequencies are counted over all
    documents.
@@ -7,12 +7,17 @@
    factors the sums, whose size the sketch's width and the benchmark's words fix.
    Corpus passages take no part in the fit: they would only turn the space to words
    that are frequent in the corpus and tell no item from another.
-3. Overlapping windows of every document are projected.  A window is a candidate for
-   an item if its cosine with it, as the space sees it, is a good part of the cosine
-   that the item has with itself there.  Window lengths double, and an item meets
-   windows of one to two times its own length, so a copy fills at least half of some.
+3. Every document is cut into overlapping windows.  Window lengths double, and an
+   item meets windows of one to two times its own length, a quarter of the window
+   apart and read with a quarter more on both sides.  A window is a candidate for an
+   item if it holds enough of the item's words for the common subsequence of step 4.
+   Words share buckets, so the count is never too small, however frequent the item
+   is and whatever stands around it: a candidate may fail step 4, but none is missed.
 4. Candidates are read again: the longest common subsequence with the item must
    cover most of it, and so must that of the item's closing words, its answer.
+5. The cosine of window and item in the latent space is given with each leak.  Only
+   for items of fewer than ``COUNTED`` words, of which any text holds most by chance
+   if they are frequent, is a cosine of ``COSINE`` a condition too.
 
 Words are lower-case runs of letters and digits.  Null or empty texts and items
 without words match nothing; each of several equal rows gets the same answer.
@@ -39,6 +44,10 @@ FEATURES, RANK, OVERSAMPLE, POWER = 1 << 15, 160, 16, 1
 ITEM_BLOCK = 20_000
 SHORTEST = 24
 COSINE, SHARE, ANSWER_SHARE = 0.42, 0.6, 0.5
+#: Words of an item from which on its candidates are counted, not retrieved by cosine.
+COUNTED = 13
+#: Sets how many words share a bucket: fewer buckets let more candidates through, and lose none.
+BUCKETS_PER_WORD = 4
 BLOCK_BYTES = 1 << 18
 _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -77,15 +86,41 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log((found.get(FEATURES, 0) + 1) / (count_ + 1)).astype(np.float32) + np.float32(1e-3)
 
 
-def _passages(first: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and documents of the windows: every ``stride`` words, and one at each document's end."""
+@dataclass
+class Windows:
+    """Windows of four steps, one step apart: their first and last words, and with one more step on both sides; their documents.
+
+    ``step_of`` has the step of every word and ``step`` the first step of every window, both counted over all documents.
+    """
+
+    start: np.ndarray
+    end: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    row: np.ndarray
+    step_of: np.ndarray
+    step: np.ndarray
+
+
+def _windows(first: np.ndarray, step: int) -> Windows:
+    """Windows of all documents; a document of fewer steps than a window has one."""
     size = np.diff(first)
-    steps = np.maximum(-(-(size - window) // stride), 0) + 1
-    steps[size == 0] = 0
-    row = np.repeat(np.arange(len(size)), steps)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps)
-    start = first[row] + np.maximum(np.minimum(number * stride, size[row] - window), 0)
-    return start, np.minimum(start + window, first[row + 1]), row
+    steps = -(-size // step)
+    count = np.where(size > 0, np.maximum(steps - 4, 0) + 1, 0)
+    row = np.repeat(np.arange(len(size)), count)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    start = first[row] + number * step
+    word = np.arange(first[-1]) - np.repeat(first[:-1], size)
+    base = np.cumsum(steps) - steps
+    return Windows(
+        start,
+        np.minimum(start + 4 * step, first[row + 1]),
+        np.maximum(start - step, first[row]),
+        np.minimum(start + 5 * step, first[row + 1]),
+        row,
+        np.repeat(base, size) + word // step,
+        base[row] + number,
+    )
 
 
 @dataclass
@@ -192,7 +227,9 @@ def _bits(words: list[int]) -> dict[int, int]:
 class Items:
     """Benchmark items of one window length: ids, latent vectors, and their words as bit tables.
 
-    The vectors are scaled so that a window's product with an item is 1 for the item itself.
+    The vectors are scaled so that a window's product with an item is 1 for the item itself.  ``bucket`` has
+    the bucket of each word of all items' vocabulary, -1 if no item here has it, and ``counts`` the items' words per
+    bucket; without buckets, candidates are retrieved by cosine.
     """
 
     window: int
@@ -201,10 +238,43 @@ class Items:
     sizes: list[int]
     whole: list[dict[int, int]]
     answer: list[tuple[int, dict[int, int]]]
+    bucket: np.ndarray | None = None
+    counts: np.ndarray | None = None
 
 
-def prepare(rows: list[tuple[int, str]], space: np.ndarray, features: Features) -> list[Items]:
-    groups: dict[int, list[tuple[int, list[int], np.ndarray]]] = defaultdict(list)
+@dataclass
+class Prepared:
+    """The sorted word hashes of all items, their features, and the items by window length."""
+
+    words: np.ndarray
+    known: np.ndarray
+    groups: list[Items]
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words of a text the items have, and where in ``words`` each of them is."""
+        place = np.flatnonzero(self.known[_feature(hashes)])
+        at = np.minimum(np.searchsorted(self.words, hashes[place]), len(self.words) - 1)
+        same = self.words[at] == hashes[place]
+        return place[same], at[same]
+
+
+def _buckets(found: list[np.ndarray], window: int, words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every word of ``words``, and the items' words per bucket; the most frequent words have buckets of their own."""
+    buckets = min(1 << (BUCKETS_PER_WORD * window - 1).bit_length(), 1 << 12)
+    own = np.searchsorted(words, np.unique(np.concatenate(found)))
+    rank = np.empty(len(own), dtype=np.int64)
+    rank[np.argsort(idf[_feature(words[own])], kind="stable")] = np.arange(len(own))
+    half = buckets // 2
+    bucket = np.full(len(words), -1)
+    bucket[own] = np.where(rank < half, rank, half + (rank - half) % half)
+    counts = np.zeros((len(found), buckets), dtype=np.float32)
+    for i, item in enumerate(found):
+        np.add.at(counts[i], bucket[np.searchsorted(words, item)], 1)
+    return bucket, counts
+
+
+def prepare(rows: list[tuple[int, str]], space: np.ndarray, features: Features) -> Prepared:
+    groups: dict[tuple[int, bool], list[tuple[int, np.ndarray, np.ndarray]]] = defaultdict(list)
     for chunk in chunks(pa.array([text for _, text in rows], pa.string())):
         hashes, first = terms(chunk)
         for row in range(chunk.rows):
@@ -215,53 +285,83 @@ def prepare(rows: list[tuple[int, str]], space: np.ndarray, features: Features)
                     window *= 2
                 vectors, squares = _sums(own, space, features)
                 unit = vectors[-1] / np.sqrt(max(squares[-1], 1e-9))
-                groups[window].append((rows[chunk.lo + row][0], own.tolist(), unit / max(float(unit @ unit), 1e-9)))
+                groups[window, len(own) >= COUNTED].append((rows[chunk.lo + row][0], own, unit / max(float(unit @ unit), 1e-9)))
+    words = np.unique(np.concatenate([np.array([], dtype=np.uint64), *(x[1] for found in groups.values() for x in found)]))
+    known = np.zeros(FEATURES, dtype=bool)
+    known[_feature(words)] = True
     out = []
-    for window, found in sorted(groups.items()):
-        closing = [x[1][-max(3, len(x[1]) // 4) :] for x in found]
+    for (window, counted), found in sorted(groups.items(), key=lambda x: x[0]):
+        closing = [x[1][-max(3, len(x[1]) // 4) :].tolist() for x in found]
+        buckets = _buckets([x[1] for x in found], window, words, features.idf) if counted else ()
         out.append(
             Items(
                 window,
                 [x[0] for x in found],
                 np.stack([x[2] for x in found]).astype(np.float32),
                 [len(x[1]) for x in found],
-                [_bits(x[1]) for x in found],
+                [_bits(x[1].tolist()) for x in found],
                 [(len(x), _bits(x)) for x in closing],
+                *buckets,
             )
         )
-    return out
+    return Prepared(words, known, out)
+
+
+def _at_least(found: np.ndarray, need: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a matrix where it is at least ``need``."""
+    return np.divmod(np.flatnonzero(found >= need), found.shape[1])
+
+
+def _counted(place: np.ndarray, at: np.ndarray, windows: Windows, group: Items) -> Iterator[tuple[int, int]]:
+    """Every window and item of which it may hold ``SHARE`` of the words."""
+    bucket = group.bucket[at]
+    place, bucket = place[bucket >= 0], bucket[bucket >= 0]
+    # Six steps from one before the window; those of a neighbouring document only add words.
+    seen = np.zeros((int(windows.step_of[-1]) + 6, group.counts.shape[1]), dtype=np.uint8)
+    seen[windows.step_of[place] + 1, bucket] = 1
+    two = seen[:-1] | seen[1:]
+    held = (two[:-4] | two[2:-2] | two[4:])[windows.step].astype(np.float32)
+    # A little less than the share, so that rounding loses none.
+    need = np.array(group.sizes, dtype=np.float32) * np.float32(SHARE) - np.float32(0.01)
+    for lo in range(0, len(group.ids), 1024):
+        window, item = _at_least(held @ group.counts[lo : lo + 1024].T, need[lo : lo + 1024])
+        yield from zip(window.tolist(), (item + lo).tolist(), strict=True)
+
+
+def _retrieved(hashes: np.ndarray, windows: Windows, group: Items, space: np.ndarray, features: Features) -> Iterator[tuple[int, int]]:
+    """Every window and item with a cosine of ``COSINE``."""
+    vectors, squares = _sums(hashes, space, features)
+    length = np.sqrt(np.maximum(squares[windows.end] - squares[windows.start], 1e-9)).astype(np.float32)
+    latent = (vectors[windows.end] - vectors[windows.start]) / length[:, None]
+    for lo in range(0, len(group.ids), 1024):
+        window, item = _at_least(latent @ group.vectors[lo : lo + 1024].T, COSINE)
+        yield from zip(window.tolist(), (item + lo).tolist(), strict=True)
 
 
 def find(
-    hashes: np.ndarray, first: np.ndarray, space: np.ndarray, features: Features, items: list[Items]
+    hashes: np.ndarray, first: np.ndarray, space: np.ndarray, features: Features, items: Prepared
 ) -> dict[int, dict[int, tuple[float, int, int]]]:
     """For each document with leaks: item -> (best cosine, words in common, words of the item)."""
     leaks: dict[int, dict[int, tuple[float, int, int]]] = defaultdict(dict)
     if not len(hashes):
         return leaks
-    vectors, squares = _sums(hashes, space, features)
-    for group in items:
-        stride = group.window // 4
-        start, end, row = _passages(first, group.window, stride)
-        length = np.sqrt(np.maximum(squares[end] - squares[start], 1e-9)).astype(np.float32)
-        latent = (vectors[end] - vectors[start]) / length[:, None]
-        for lo in range(0, len(group.ids), 1024):
-            cosine = latent @ group.vectors[lo : lo + 1024].T
-            window, item = np.nonzero(cosine >= COSINE)
-            for w, i in zip(window.tolist(), item.tolist(), strict=True):
-                value, i, doc = float(cosine[w, i]), i + lo, int(row[w])
-                known = leaks[doc].get(group.ids[i]) if doc in leaks else None
-                if known and known[0] >= value:
-                    continue
-                around = slice(max(int(first[doc]), int(start[w]) - stride), min(int(first[doc + 1]), int(end[w]) + stride))
-                text = hashes[around].tolist()
-                common = common_length(group.whole[i], text, group.sizes[i])
-                if common < SHARE * group.sizes[i]:
-                    continue
-                size, answer = group.answer[i]
-                if common_length(answer, text, size) >= ANSWER_SHARE * size:
-                    leaks[doc][group.ids[i]] = (value, max(common, known[1] if known else 0), group.sizes[i])
-    return {doc: found for doc, found in leaks.items() if found}
+    place, at = items.places(hashes)
+    for group in items.groups:
+        windows = _windows(first, group.window // 4)
+        counted = group.bucket is not None
+        for w, i in _counted(place, at, windows, group) if counted else _retrieved(hashes, windows, group, space, features):
+            text = hashes[windows.low[w] : windows.high[w]].tolist()
+            common = common_length(group.whole[i], text, group.sizes[i])
+            if common < SHARE * group.sizes[i]:
+                continue
+            size, answer = group.answer[i]
+            if common_length(answer, text, size) < ANSWER_SHARE * size:
+                continue
+            vectors, squares = _sums(hashes[windows.start[w] : windows.end[w]], space, features)
+            value = float(vectors[-1] @ group.vectors[i]) / max(squares[-1], 1e-9) ** 0.5
+            best, most, _ = leaks[int(windows.row[w])].get(group.ids[i], (value, common, 0))
+            leaks[int(windows.row[w])][group.ids[i]] = (max(best, value), max(most, common), group.sizes[i])
+    return dict(leaks)
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -199,6 +199,36 @@ def test_leaks_are_found_and_clean_documents_left(spark, awkward, rows):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
+def test_leaks_of_an_item_in_a_third_of_all_documents(spark):
+    """Frequent items among rarer words, verbatim or with 38 % of the words changed, against brute force."""
+    draw = random.Random(5)
+    items = {i: [f"q{draw.randrange(400)}" for _ in range(n)] for i, n in enumerate((25, 40, 13))}
+    docs = {}
+    for d in range(120):
+        words = [f"r{draw.randrange(20000)}" for _ in range(300)]
+        if d % 3 == 0:
+            item = items[d // 3 % 3]
+            changed = set(draw.sample(range(len(item) * 3 // 4), len(item) * 38 // 100)) if d % 2 else set()
+            words[140:140] = [f"other{draw.randrange(99)}" if k in changed else w for k, w in enumerate(item)]
+        docs[d] = words
+
+    def held(words, item, length):
+        size, end = len(item), item[-max(3, len(item) // 4) :]
+        for start in range(max(len(words) - length, 0) + 1):
+            text = words[start : start + length]
+            if decontaminate.common_length(decontaminate._bits(item), text, size) >= 0.6 * size:
+                if decontaminate.common_length(decontaminate._bits(end), text, len(end)) >= 0.5 * len(end):
+                    return True
+        return False
+
+    # Any stretch of five quarters of an item's window is read whole.
+    expected = {(d, i) for d, words in docs.items() for i, item in items.items() if held(words, item, 30 if len(item) <= 24 else 60)}
+    assert expected == {(d, d // 3 % 3) for d in range(0, 120, 3)}
+    table = spark.createDataFrame([(d, " ".join(words)) for d, words in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, bench).collect()} == expected
+
+
 def test_leaks_without_a_benchmark(spark, awkward):
     assert decontaminate.leaks(awkward, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
