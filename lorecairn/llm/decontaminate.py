@@ -15,9 +15,10 @@
    is and whatever stands around it: a candidate may fail step 4, but none is missed.
 4. Candidates are read again: the longest common subsequence with the item must
    cover most of it, and so must that of the item's closing words, its answer.
-5. The cosine of window and item in the latent space is given with each leak.  Only
-   for items of fewer than ``COUNTED`` words, of which any text holds most by chance
-   if they are frequent, is a cosine of ``COSINE`` a condition too.
+5. The cosine of window and item in the latent space is given with each leak.  Items
+   of fewer than ``COUNTED`` words, of which any text holds most by chance if they are
+   frequent, are found wherever their words stand in a row; only for a changed copy of
+   such an item is a cosine of ``COSINE`` a condition too.
 
 Words are lower-case runs of letters and digits.  Null or empty texts and items
 without words match nothing; each of several equal rows gets the same answer.
@@ -229,7 +230,8 @@ class Items:
 
     The vectors are scaled so that a window's product with an item is 1 for the item itself.  ``bucket`` has
     the bucket of each word of all items' vocabulary, -1 if no item here has it, and ``counts`` the items' words per
-    bucket; without buckets, candidates are retrieved by cosine.
+    bucket; without buckets, candidates are retrieved by cosine or, word for word, by ``rows``: the items of a number
+    of words by the hash of all their words.
     """
 
     window: int
@@ -238,6 +240,7 @@ class Items:
     sizes: list[int]
     whole: list[dict[int, int]]
     answer: list[tuple[int, dict[int, int]]]
+    rows: dict[int, dict[int, list[tuple[int, np.ndarray]]]]
     bucket: np.ndarray | None = None
     counts: np.ndarray | None = None
 
@@ -258,6 +261,22 @@ class Prepared:
         return place[same], at[same]
 
 
+def _in_a_row(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each word on."""
+    count = max(len(hashes) - size + 1, 0)
+    out = np.zeros(count, dtype=np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + count]
+    return out
+
+
+def _by_row(found: list[np.ndarray]) -> dict[int, dict[int, list[tuple[int, np.ndarray]]]]:
+    out: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = defaultdict(lambda: defaultdict(list))
+    for i, own in enumerate(found):
+        out[len(own)][int(_in_a_row(own, len(own))[0])].append((i, own))
+    return {size: dict(x) for size, x in out.items()}
+
+
 def _buckets(found: list[np.ndarray], window: int, words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every word of ``words``, and the items' words per bucket; the most frequent words have buckets of their own."""
     buckets = min(1 << (BUCKETS_PER_WORD * window - 1).bit_length(), 1 << 12)
@@ -301,6 +320,7 @@ def prepare(rows: list[tuple[int, str]], space: np.ndarray, features: Features)
                 [len(x[1]) for x in found],
                 [_bits(x[1].tolist()) for x in found],
                 [(len(x), _bits(x)) for x in closing],
+                {} if counted else _by_row([x[1] for x in found]),
                 *buckets,
             )
         )
@@ -338,6 +358,23 @@ def _retrieved(hashes: np.ndarray, windows: Windows, group: Items, space: np.nda
         yield from zip(window.tolist(), (item + lo).tolist(), strict=True)
 
 
+def _verbatim(hashes: np.ndarray, first: np.ndarray, windows: Windows, group: Items) -> Iterator[tuple[int, int]]:
+    """For every item and document that holds it word for word, a window around the first such place."""
+    step = group.window // 4
+    for size, items in group.rows.items():
+        value = _in_a_row(hashes, size)
+        hit = np.flatnonzero(np.isin(value, np.array(list(items), dtype=np.uint64)))
+        row = np.searchsorted(first, hit, side="right") - 1
+        inside = hit + size <= first[row + 1]
+        hit, row = hit[inside], row[inside]
+        key = np.unique(np.stack([value[hit], row.astype(np.uint64)]), axis=1, return_index=True)[1]
+        for place, doc in zip(hit[key].tolist(), row[key].tolist(), strict=True):
+            lo, hi = np.searchsorted(windows.row, [doc, doc + 1]).tolist()
+            for i, own in items[int(value[place])]:
+                if np.array_equal(hashes[place : place + size], own):
+                    yield min(lo + (place - int(first[doc])) // step, hi - 1), i
+
+
 def find(
     hashes: np.ndarray, first: np.ndarray, space: np.ndarray, features: Features, items: Prepared
 ) -> dict[int, dict[int, tuple[float, int, int]]]:
@@ -348,8 +385,11 @@ def find(
     place, at = items.places(hashes)
     for group in items.groups:
         windows = _windows(first, group.window // 4)
-        counted = group.bucket is not None
-        for w, i in _counted(place, at, windows, group) if counted else _retrieved(hashes, windows, group, space, features):
+        if group.bucket is not None:
+            candidates = _counted(place, at, windows, group)
+        else:
+            candidates = {*_retrieved(hashes, windows, group, space, features), *_verbatim(hashes, first, windows, group)}
+        for w, i in candidates:
             text = hashes[windows.low[w] : windows.high[w]].tolist()
             common = common_length(group.whole[i], text, group.sizes[i])
             if common < SHARE * group.sizes[i]:

@@ -229,6 +229,24 @@ def test_leaks_of_an_item_in_a_third_of_all_documents(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, bench).collect()} == expected
 
 
+def test_short_items_are_found_word_for_word(spark):
+    """Items of 1 to 12 frequent words inside long documents, at their edges too, and not across two documents."""
+    draw = random.Random(6)
+    items = [[f"i{n}w{k % 5}" for k in range(n)] for n in range(1, 13)]
+    docs, expected = [], set()
+    for d in range(96):
+        words, item = [f"r{draw.randrange(20000)}" for _ in range(200)], items[d % 12]
+        at = (0, 37, 90, 200)[d // 12 % 4]
+        words[at:at] = item
+        docs.append((d, " ".join(words)))
+        expected.add((d, d % 12))
+    docs += [(900, " ".join(items[11][:6])), (901, " ".join(items[11][6:]))]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, bench).collect()}
+    assert expected <= found and (900, 11) not in found and (901, 11) not in found
+
+
 def test_leaks_without_a_benchmark(spark, awkward):
     assert decontaminate.leaks(awkward, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
