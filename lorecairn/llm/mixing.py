@@ -7,8 +7,9 @@ document is in if its hash is below its source's threshold: no sort of the
 documents, and a larger budget always holds what a smaller one does.
 
 A budget that ends inside a document leaves a rest.  It is filled in further
-rounds from the documents behind the threshold that are no larger than the rest.
-Documents are taken whole.
+rounds from the documents behind the threshold that are no larger than the rest,
+until none is left that fits.  The document at a threshold is larger than the rest
+and out for good, so every round has fewer documents.  Documents are taken whole.
 
 Sources are ordered by code point, null last.  Null and empty texts have size 0
 and are never taken.  Repeated rows (same id and text) share a hash: they are
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .tables import WORD
 
-BITS, LEVELS, ROUNDS = 16, 3, 3
+BITS, LEVELS = 16, 3
 #: As many sources at most are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 _TOP = 1 << (BITS * LEVELS)
@@ -132,7 +133,7 @@ class Mix:
         for k in range(self.rounds):
             small = (F.col("size") <= F.col(f"__rest{k}")) & behind
             extra = extra + F.when(small & (F.col("__hash") < F.col(f"__upto{k}")), 1).otherwise(0)
-            behind = behind & (F.col("__hash") >= F.col(f"__upto{k}"))
+            behind = behind & (F.col("__hash") > F.col(f"__upto{k}"))
         copies = F.when(F.col("size") > 0, F.col("__copies") + extra).otherwise(0)
         return rows.select(*kept, "size", "source_size", "target", copies.cast("int").alias("copies"))
 
@@ -154,8 +155,8 @@ def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[in
     # In a round only documents no larger than the rest count; in the first, the rest is the budget itself.
     budgets = table.select("number", "budget")
     left = rows.join(F.broadcast(budgets) if few else budgets, "number").where("size <= budget")
-    found = table
-    for k in range(ROUNDS):
+    found, k = table, 0
+    while True:
         ends = _threshold(left.select("number", "size", "hash"), budgets, few)
         found = found.join(
             budgets.join(ends, "number").select("number", F.col("upto").alias(f"__upto{k}"), F.col("budget").alias(f"__rest{k}")),
@@ -163,12 +164,14 @@ def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[in
         )
         budgets = ends.select("number", F.col("rest").alias("budget"))
         step = ends.select("number", "upto", F.col("rest").alias("left"))
-        left = (
+        left = cut_lineage(
             left.select("number", "size", "hash")
             .join(F.broadcast(step) if few else step, "number")
-            .where("hash >= upto and size <= left")
+            .where("hash > upto and size <= left")
         )
-    return Mix(cut_lineage(found.drop("number", "weight", "budget")), ROUNDS, few)
+        k += 1
+        if left.isEmpty():
+            return Mix(cut_lineage(found.drop("number", "weight", "budget")), k, few)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -275,3 +275,23 @@ def test_pipeline_with_awkward_rows(spark, awkward, folder, tmp_path):
         stage(spark, docs, folder).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.count() > 0
+
+
+def test_mix_leaves_no_document_that_fits(spark):
+    draw = random.Random(8)
+    made = [(i, "w " * int(2 ** (draw.random() * 10)), f"s{i % 40}") for i in range(2400)]
+    made += [(i, "w " * draw.randint(1, 40), "s0") for i in (5000, 5001) for _ in range(1)] + [(6000, "w " * 30, "s1")] * 5
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    rows = mixing.plan(docs).apply(docs).collect()
+    left = {}
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        gap = int(own[0]["target"] + 1e-6) - sum(r["size"] * r["copies"] for r in own)
+        least = int(own[0]["target"] // own[0]["source_size"])
+        units = {}
+        for r in own:
+            if r["copies"] == least and r["size"]:
+                units[r["doc_id"]] = units.get(r["doc_id"], 0) + r["size"]
+        assert gap >= 0
+        left[source] = sum(size <= gap for size in units.values())
+    assert not any(left.values()), left
