@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.vectors import dot
 from ..operators import maintain, replay
 from ..sources import derived
 from . import sql
@@ -144,10 +145,13 @@ def _update_commands(spark: SparkSession, folder: str) -> DataFrame:
 def update_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = derived.kb_documents(spark, folder)
     change = maintain.update_documents(docs, _update_commands(spark, folder), NOW)
+    # The rows have no embedding, so it is checked here, or Spark would leave it out of the job.
+    unit = F.abs(dot(F.col("embedding"), F.col("embedding")) - 1) < 1e-3
+    fresh = (F.col("metadata.updated") != NOW) | F.coalesce(unit, F.lit(False))
     documents = _rows(
         "document",
         change.documents,
-        F.col("key"),
+        F.when(fresh, F.col("key")).otherwise(F.raise_error(F.concat(F.lit("not embedded anew: "), "key"))),
         F.col("title"),
         F.col("summary"),
         F.array_join("tags", ","),

@@ -297,3 +297,19 @@ def test_topics_may_follow_parents_of_the_same_table(spark):
     found = {r["key"]: r["status"] for r in change.outcomes.collect()}
     assert found == {"a": "created", "b": "created", "c": "created", "r": "key_exists", "x": "parent_not_found", "y": "parent_not_found", "z": "parent_not_found"}
     assert {r["key"] for r in change.topics.collect()} == {"a", "b", "c"}
+
+
+def test_update_query_embeds_anew(spark, folder):
+    from lorecairn.functions.vectors import character_vector
+    from lorecairn.plans import changes
+    from lorecairn.sources import derived
+
+    plan = changes.update_documents(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+    commands = changes._update_commands(spark, folder)
+    change = maintain.update_documents(derived.kb_documents(spark, folder), commands, changes.NOW)
+    fresh = change.documents.where(F.col("metadata.updated") == changes.NOW).collect()
+    assert len(fresh) == commands.join(derived.kb_documents(spark, folder), "key", "left_semi").select("key").distinct().count() > 0
+    for row in fresh:
+        body = f"{row['title']} {row['summary'] or ''} {row['content']}"
+        assert max(abs(x - y) for x, y in zip(row["embedding"], character_vector(body), strict=True)) < 1e-5
