@@ -310,8 +310,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").mapInArrow(exact, "a long, b long").distinct()
 
 
-def _cluster_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components within clusters.
+def _cluster_links(members: DataFrame, sets: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Links (a, b) between components within clusters: enough to connect them, or every link.
 
     ``members`` has cluster, node and component; clusters are cut into blocks of
     bounded size, and every two blocks of a cluster meet in one task.
@@ -335,15 +335,15 @@ def _cluster_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
             table = pa.concat_tables([rest, table]) if rest is not None else table
             task = table.column("task").to_numpy()
             cut = int(np.searchsorted(task, task[-1])) if len(task) else 0
-            yield from _compare_tasks(table.slice(0, cut), percent)
+            yield from _compare_tasks(table.slice(0, cut), percent, every)
             rest = table.slice(cut)
         if rest is not None:
-            yield from _compare_tasks(rest, percent)
+            yield from _compare_tasks(rest, percent, every)
 
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _compare_tasks(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+def _compare_tasks(table: pa.Table, percent: int, every: bool) -> Iterator[pa.RecordBatch]:
     if not table.num_rows:
         return
     task, node, component = (table.column(x).to_numpy() for x in ("task", "node", "component"))
@@ -373,30 +373,66 @@ def _compare_tasks(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
             rest = rest[links(most_common(bits[i], bits[rest], size[i], size[rest]), size[rest], size[i], percent)]
             for j in rest.tolist():
                 a, b = root(int(component[i])), root(int(component[j]))
-                if a != b and links(_common(sets[i], sets[j]), size[i], size[j], percent):
+                if (every or a != b) and links(_common(sets[i], sets[j]), size[i], size[j], percent):
                     parent[max(a, b)] = min(a, b)
-                    found.append((int(node[i]), int(node[j])))
+                    found.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
     if found:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], ["a", "b"])
 
 
-def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    rows = cut_lineage(measured(docs, n))
+def _paired(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every id with the representative of its set, the pairs of representatives in a star, and their sets."""
     sets_known = rows.where("doc_id is not null and n_shingles > 0")
     same = ["n_shingles", "one", "two"]
     # Rows of one id are one node: the id's smallest representative links them all.
     first = sets_known.groupBy(*same).agg(F.min("doc_id").cast("long").alias("rep"))
     nodes = cut_lineage(sets_known.join(first, same).select(F.col("doc_id").cast("long").alias("doc"), "rep"))
     star = cut_lineage(stars(docs, n, percent))
-    by_digest = nodes.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     # Copies stand for their set: pairs are of different sets, and few documents' sets are needed.
     pairs = star.groupBy("leader", "member").agg(F.count("*").alias("tiles"))
     for side, name in (("leader", "a"), ("member", "b")):
         pairs = pairs.join(nodes.select(F.col("doc").alias(side), F.col("rep").alias(name)), side)
     pairs = cut_lineage(pairs.where("a <> b").groupBy("a", "b").agg(F.sum("tiles").alias("tiles")))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = cut_lineage(sets_of(docs, wanted, n))
+    return nodes, pairs, cut_lineage(sets_of(docs, wanted, n))
+
+
+def linked(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """Every link (a, b) with a < b between different sets, each named by its smallest id.
+
+    Ids of equal sets link as well; see :func:`link_counts`.  The links of a group of
+    near copies grow with the square of its sets, as the result does.
+    """
+    _, pairs, sets = _paired(docs, cut_lineage(measured(docs, n)), n, percent)
+    return _every_link(pairs, sets, percent)
+
+
+def _every_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    members = components(pairs).select(F.col("component").alias("cluster"), "node", F.col("node").alias("component"))
+    return _cluster_links(cut_lineage(members), sets, percent, every=True)
+
+
+def link_counts(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id and n_links of every id with words: how many other ids it links with, by equal sets or by :func:`linked`.
+
+    For an id with rows of different sets, the links of each are counted.
+    """
+    nodes, pairs, sets = _paired(docs, cut_lineage(measured(docs, n)), n, percent)
+    nodes = cut_lineage(nodes.distinct())
+    size = nodes.groupBy("rep").agg((F.count("*") - 1).alias("copies"))
+    found = cut_lineage(_every_link(pairs, sets, percent))
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(size.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum(F.col("copies") + 1).alias("near"))
+    total = size.join(near.withColumnRenamed("a", "rep"), "rep", "left")
+    total = total.select("rep", (F.col("copies") + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return nodes.join(total, "rep").groupBy(F.col("doc").alias("doc_id")).agg(F.sum("n_links").alias("n_links"))
+
+
+def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    rows = cut_lineage(measured(docs, n))
+    nodes, pairs, sets = _paired(docs, rows, n, percent)
+    by_digest = nodes.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     # Each member first tries the leader with which it shares most tiles.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("tiles", -F.col("a"))).alias("a"))
     edges = cut_lineage(verified(best, sets, percent).unionByName(by_digest))

@@ -88,6 +88,28 @@ def test_bit_counts_bound_the_intersection():
         assert ngram_join.most_common(*bits, len(a), len(b))[0] >= len(np.intersect1d(a, b))
 
 
+def test_every_link_and_links_per_document(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 8)
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(500)}" for _ in range(60)]
+    made = []
+    for i in range(60):
+        made.append((i, " ".join(base)))
+        if i % 3:
+            base[draw.randrange(60)] = f"w{draw.randrange(500)}"
+    made += [(100, "far from all"), (101, ""), (102, None), (103, made[0][1].upper())]
+    sets = {d: grams(text, 3) for d, text in made}
+    near = {(a, b) for a in sets for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    least = {d: min(x for x in sets if sets[x] == sets[d]) for d in sets}
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    found = [tuple(r) for r in ngram_join.linked(docs, 3, 80).collect()]
+    assert len(found) == len(set(found)) and set(found) == {tuple(sorted((least[a], least[b]))) for a, b in near if least[a] != least[b]}
+    # More than connect them.
+    assert len(found) > len(set(least.values()))
+    counts = dict(ngram_join.link_counts(docs, 3, 80).collect())
+    assert counts == {d: sum(a == d for a, _ in near) for d in sets if sets[d]}
+
+
 def test_one_of_each_keeps_the_smallest_and_all_columns(awkward, rows):
     kept = ngram_join.one_of_each(awkward, 5, 80)
     assert kept.columns == awkward.columns
