@@ -281,7 +281,7 @@ def update_topics(spark: SparkSession, folder: str) -> DataFrame:
         .select("source")
         .distinct()
         .select(
-            F.concat(F.lit("s"), F.substring("source", 4, 20)).alias("key"),
+            F.concat(F.lit("s"), F.substring("source", F.lit(4), F.length("source"))).alias("key"),
             F.upper("source").alias("name"),
             nothing.alias("description"),
             nothing.alias("parent_topic"),

@@ -87,7 +87,7 @@ def kb_topics(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_name").alias("name"),
         F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent_topic"),
     )
-    number = F.substring("source", 4, 20)
+    number = F.substring("source", F.lit(4), F.length("source"))
     sources = (
         raw(spark, folder, "documents")
         .select("source")
@@ -120,7 +120,7 @@ def kb_links(spark: SparkSession, folder: str) -> DataFrame:
     source_id = F.concat(F.lit(schemas.DOCUMENT_PREFIX), number)
     belongs = docs.select(
         source_id.alias("from_id"),
-        F.concat(F.lit(schemas.TOPIC_PREFIX + "s"), F.substring("source", 4, 20)).alias("to_id"),
+        F.concat(F.lit(schemas.TOPIC_PREFIX + "s"), F.substring("source", F.lit(4), F.length("source"))).alias("to_id"),
         F.lit(schemas.TOPIC_LINK_TYPE).alias("type"),
         F.lit(schemas.TOPIC_LINK_STRENGTH).alias("strength"),
         F.lit(False).alias("bidirectional"),

@@ -313,3 +313,18 @@ def test_update_query_embeds_anew(spark, folder):
     for row in fresh:
         body = f"{row['title']} {row['summary'] or ''} {row['content']}"
         assert max(abs(x - y) for x, y in zip(row["embedding"], character_vector(body), strict=True)) < 1e-5
+
+
+def test_long_source_names_stay_apart(spark, tmp_path):
+    from lorecairn.plans import changes
+
+    names = [f"src{'1' * 30}{x}" for x in "ab"]
+    docs = spark.createDataFrame([(i, "text", "en", s, 4) for i, s in enumerate(names)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for table in ("region", "nation", "supplier"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    wanted = {f"s{s[3:]}" for s in names}
+    assert wanted <= {r["key"] for r in derived.kb_topics(spark, str(tmp_path)).collect()}
+    assert {f"topics/{k}" for k in wanted} <= {r["to_id"] for r in derived.kb_links(spark, str(tmp_path)).collect()}
+    rows = [r["row"].split("|") for r in changes.update_topics(spark, str(tmp_path)).where("kind = 'outcome'").collect()]
+    assert all([k, "updated"] in rows for k in wanted)
