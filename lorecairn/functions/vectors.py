@@ -41,7 +41,8 @@ def character_vectors(texts: pd.Series, dimension: int = DIMENSION) -> list[np.n
     row = np.repeat(np.arange(len(texts)), length)
     place = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
     cells = np.bincount(row * dimension + codes % dimension, weights=1.0 / (place + 1), minlength=len(texts) * dimension)
-    cells = cells.reshape(len(texts), dimension)
+    # Counting nothing gives integers, whatever the weights.
+    cells = cells.astype(np.float64).reshape(len(texts), dimension)
     size = np.sqrt((cells**2).sum(axis=1, keepdims=True))
     return list(np.divide(cells, size, out=np.zeros_like(cells), where=size > 0).astype(np.float32))
 

@@ -29,6 +29,12 @@ def test_hash_embedding_column(spark):
     assert got[1] == got[2] == [0.0] * 8
 
 
+def test_batches_without_any_text(spark):
+    rows = spark.createDataFrame([("",), (None,)], "t string").coalesce(1)
+    got = [r[0] for r in rows.select(vectors.hash_embedding("t", 8)).collect()]
+    assert got == [[0.0] * 8] * 2
+
+
 def test_model_embedding_uses_the_encoder_and_falls_back(spark):
     rows = spark.createDataFrame([("ab",), ("bad",)], "t string").coalesce(1)
 
