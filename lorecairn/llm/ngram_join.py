@@ -90,9 +90,12 @@ def links(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
 @cache
 def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First size of each band, its number of ranges, and how many ranges linked sets may differ in."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     edges = [1]
     while edges[-1] < 1 << 40:
-        edges.append(100 * edges[-1] // percent + 1)
+        # Equal sets have one size, but a band may hold more: they need only one range.
+        edges.append(100 * edges[-1] // min(percent, 99) + 1)
     first = np.array(edges, dtype=np.int64)
     largest = first[1:] - 1
     differ = (largest + 100 * largest // percent) * (100 - percent) // (100 + percent)

@@ -44,7 +44,7 @@ def groups(rows, n, percent):
     return Counter((d, len(s), None if d is None else root(d)) for d, s in sets)
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (1, 60)])
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (1, 60), (2, 100)])
 def test_join_equals_brute_force(awkward, rows, n, percent):
     found = ngram_join.joined(awkward, n, percent)
     assert found.columns == ["doc_id", "n_shingles", "component_id"]
