@@ -7,16 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, ngram_join, quality_model, quality_rules, sharding, substring, token_counts, toxicity
+from . import decontaminate, language, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, substring, token_counts, toxicity
 from .tables import held_out, read
 
-#: A public byte-level vocabulary; any file of that kind will do.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: Setting of the folder with the vocabulary files, read by the driver alone, and where it is if unset.
+TOKENIZERS, TOKENIZERS_FOLDER = "spark.lorecairn.tokenizers", "/opt/tokenizers"
+#: Public vocabularies: byte-level pairs, and pieces with byte fallback.
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+def tokenizer(spark: SparkSession, name: str) -> str:
+    """Place of a vocabulary file."""
+    return f"{spark.conf.get(TOKENIZERS, TOKENIZERS_FOLDER)}/{name}"
+
+
+def tokenizer_bytes(spark: SparkSession, name: str) -> bytes:
+    with open(tokenizer(spark, name), "rb") as file:
+        return file.read()
+
+
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[function.__name__] = function
     return function
@@ -37,7 +49,7 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Words and greedy word pieces of every document."""
-    return token_counts.token_counts(read(spark, folder, "documents"), token_counts.byte_pieces(VOCABULARY))
+    return token_counts.token_counts(read(spark, folder, "documents"), token_counts.byte_pieces(tokenizer(spark, BYTE_LEVEL)))
 
 
 @query
@@ -104,6 +116,17 @@ def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+@query
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document, with the end id, and the text they decode to."""
+    model = tokenizer_bytes(spark, PIECES)
+    rows = pieces.decode(pieces.encode(read(spark, folder, "documents"), model, end=True), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 # What SQL can express.  The others have learned models or random draws and are
 # tested against brute force, planted cases or held-out rows.
 _WORDS = r"""list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""

@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: Short and empty texts have few bytes, but what is computed for each row has its size too.
+CHUNK_ROWS = 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACES = np.zeros(256, dtype=bool)
@@ -85,8 +87,8 @@ class Chunk:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES, lower: bool = False) -> Iterator[Chunk]:
-    """Split a string column into chunks of about ``limit`` bytes; null counts as empty text."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, lower: bool = False, rows: int = CHUNK_ROWS) -> Iterator[Chunk]:
+    """Split a string column into chunks of about ``limit`` bytes and at most ``rows`` rows; null counts as empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -100,6 +102,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES, lower: bool = False) -> I
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+        hi = min(hi, lo + rows)
         yield Chunk(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 
