@@ -41,7 +41,9 @@ from .textarrays import Chunk, chunks, code_points, prefix_sums, range_hash
 MARK = 0x2581
 LONG = 2048
 #: Texts are encoded in chunks of so many bytes and rows.
-ENCODE_BYTES, ENCODE_ROWS = 1 << 21, 4096
+ENCODE_BYTES, ENCODE_ROWS = 1 << 19, 4096
+#: Ids that are decoded at once, the longest list apart.
+DECODE_IDS = 1 << 17
 _NONE = np.iinfo(np.int32).max
 _CHARACTERS = 0x110000
 _SIEVE_BITS = 22
@@ -407,9 +409,15 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
         for batch in batches:
             lists = batch.column("ids")
             first = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = pa.array(encoder.decode(ids, first), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, texts], ["doc_id", "ids", "text"])
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + DECODE_IDS, side="right")) - 1)
+                hi = min(hi, lo + ENCODE_ROWS)
+                texts = encoder.decode(ids[first[lo] : first[hi]].astype(np.int64), first[lo : hi + 1] - first[lo])
+                own = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                lo = hi
 
     schema = T.StructType([*rows.select("doc_id", "ids").schema, T.StructField("text", T.StringType())])
     return rows.select("doc_id", "ids").mapInArrow(run, schema)
