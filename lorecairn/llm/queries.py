@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, substring, token_counts, toxicity
+from . import decontaminate, language, merkle, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, substring, token_counts, toxicity
 from .tables import held_out, read
 
 #: Setting of the folder with the vocabulary files, read by the driver alone, and where it is if unset.
@@ -127,6 +127,25 @@ def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root its possibly changed text leads to."""
+    docs = read(spark, folder, "documents")
+    changed = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0, F.lit(False))
+    text = F.when(changed, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.manifest(docs, 3, {"given": merkle.leaf({"text": text})})
+    root, led_to = merkle.hexed(F.col("root")), merkle.folded(F.col("given"), F.col("path"))
+    rows = rows.select(
+        "doc_id",
+        merkle.hexed(F.col("leaf")).alias("leaf"),
+        merkle.hexed(F.col("subroot")).alias("subroot"),
+        root.alias("root"),
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        led_to.alias("folded_root"),
+    )
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 # What SQL can express.  The others have learned models or random draws and are
 # tested against brute force, planted cases or held-out rows.
 _WORDS = r"""list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
@@ -166,3 +185,57 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS t
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+_FIELDS = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+#: The last bit of a check sum's state, bit by bit; the check sum itself has the opposite bit.
+_STATE = """list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+          lambda c: list_transform(range(0, 8), lambda i: CAST((unicode(c) >> CAST(i AS INTEGER)) & 1 AS UBIGINT))))),
+          lambda a, b: xor(a >> 1, (xor(a, b) & 1) * 3988292384::UBIGINT)) & 1"""
+
+
+def _tree(name: str, start: str) -> str:
+    """Levels of trees of three: nodes, and the siblings of each on both sides."""
+    return f"""
+{name}(level, tree, idx, n, h) AS (
+    SELECT 0, tree, row_number() OVER (PARTITION BY tree ORDER BY {start}) - 1, count(*) OVER (PARTITION BY tree), h FROM {name}_rows
+    UNION ALL
+    SELECT any_value(level) + 1, tree, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx))
+    FROM {name} WHERE n > 1 GROUP BY tree, idx // 3),
+{name}_beside AS (
+    SELECT a.level, a.tree, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+           coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+    FROM {name} a LEFT JOIN {name} b ON a.level = b.level AND a.tree = b.tree AND a.idx // 3 = b.idx // 3
+    WHERE a.n > 1 GROUP BY a.level, a.tree, a.idx)"""
+
+
+def _climb(name: str, start: str) -> str:
+    """From each start up to the root of its tree: the siblings on the way and the hash."""
+    return f"""
+{name}_way(row, level, tree, idx, proof, folded) AS (
+    {start}
+    UNION ALL
+    SELECT row, w.level + 1, tree, idx // 3, proof || before || after, sha256(before || folded || after)
+    FROM {name}_way w JOIN {name}_beside b USING (level, tree, idx)),
+{name}_up AS (SELECT row, max_by(proof, level) AS proof, max_by(folded, level) AS folded FROM {name}_way GROUP BY row)"""
+
+
+CHECKS["op12_merkle_manifest"] = f"""
+WITH RECURSIVE
+given AS (SELECT doc_id, coalesce('s' || source, 'n') AS tree, {_FIELDS} AS fields, text,
+                 CASE WHEN {_STATE} = 1 THEN replace(text, chr(10), '') ELSE text END AS changed
+          FROM documents),
+leaf_rows AS (SELECT doc_id, tree, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) AS h,
+                     sha256(fields || coalesce(strlen(changed) || ':' || changed, '-')) AS changed_h FROM given),
+{_tree("leaf", "doc_id, h")},
+rows AS (SELECT row_number() OVER () AS row, * FROM (
+             SELECT doc_id, tree, h, changed_h, row_number() OVER (PARTITION BY tree ORDER BY doc_id, h) - 1 AS idx FROM leaf_rows)),
+top_rows AS (SELECT '' AS tree, tree AS named, h FROM leaf WHERE n = 1),
+{_tree("top", "named")},
+{_climb("leaf", "SELECT row, 0, tree, idx, '', changed_h FROM rows")},
+places AS (SELECT named, row_number() OVER (ORDER BY named) - 1 AS idx FROM top_rows),
+{_climb("top", "SELECT row, 0, '', p.idx, '', u.folded FROM rows r JOIN leaf_up u USING (row) JOIN places p ON p.named = r.tree")}
+SELECT r.doc_id, r.h AS leaf, s.h AS subroot, t.h AS root, sha256(u.proof || v.proof) AS proof_sha256,
+       v.folded AS folded_root, v.folded = t.h AS verified
+FROM rows r JOIN leaf_up u USING (row) JOIN top_up v USING (row) JOIN leaf s ON s.tree = r.tree AND s.n = 1
+JOIN top t ON t.n = 1"""
