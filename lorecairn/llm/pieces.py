@@ -19,8 +19,8 @@ sets before a text is taken away again.
 
 Null and empty texts have no pieces, only the end id if one is asked for, and decode to
 an empty text; a null list of ids does too.  Every row is handled by itself, so repeated rows, null ids and
-other columns do not matter.  Memory is bounded by the chunk and by the longest text:
-about a hundred bytes per byte of it.
+other columns do not matter.  Long texts are merged in slices that end between segments;
+memory is bounded by the slice and by some twenty bytes per byte of the longest text.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ MARK = 0x2581
 LONG = 2048
 #: Texts are encoded in chunks of so many bytes and rows.
 ENCODE_BYTES, ENCODE_ROWS = 1 << 19, 4096
+#: Symbols of a chunk, or of one long text, that are merged at once.
+SLICE = 1 << 19
 #: Ids that are decoded at once, the longest list apart.
 DECODE_IDS = 1 << 17
 _NONE = np.iinfo(np.int32).max
@@ -151,23 +153,47 @@ class Encoder:
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts of a chunk, one after the other, and where each text begins."""
         points, offsets = code_points(chunk)
-        points = np.where(points == 0x20, MARK, points).astype(np.int64)
+        points = np.where(points == 0x20, MARK, points).astype(np.int32)
         filled = np.flatnonzero(np.diff(offsets))
         points = np.insert(points, offsets[filled], MARK)
         offsets = offsets + np.append(0, np.cumsum(np.diff(offsets) > 0))
-        if not len(points):
-            return np.zeros(0, dtype=np.int64), offsets
-        first = np.ones(len(points), dtype=bool)
-        first[1:] = ~self.sieve[self._sieve_place(points[:-1], points[1:])]
-        first[offsets[:-1][filled]] = True
-        start = np.flatnonzero(first)
-        size = np.diff(start, append=len(points))
-        which, chosen = _distinct(points, start, size)
+        heads = offsets[:-1][filled]
+        parts, begins = [np.zeros(0, dtype=np.int64)], np.zeros(len(offsets), dtype=np.int64)
+        lo = total = 0
+        while lo < len(points):
+            start, hi = self._segments(points, heads, lo)
+            ids, ends = self._sliced(points, start, hi)
+            here = slice(np.searchsorted(offsets, lo), np.searchsorted(offsets, hi))
+            begins[here] = total + ends[np.searchsorted(start, offsets[here])]
+            parts.append(ids)
+            total, lo = total + len(ids), hi
+        begins[np.searchsorted(offsets, lo) :] = total
+        return np.concatenate(parts), begins
+
+    def _segments(self, points: np.ndarray, heads: np.ndarray, lo: int) -> tuple[np.ndarray, int]:
+        """Starts of the segments from ``lo`` on, and the end of the last, after about ``SLICE`` symbols."""
+        size = SLICE
+        while True:
+            hi = min(lo + size, len(points))
+            left, right = points[lo : hi - 1].astype(np.int64), points[lo + 1 : hi].astype(np.int64)
+            first = np.ones(hi - lo, dtype=bool)
+            first[1:] = ~self.sieve[self._sieve_place(left, right)]
+            first[heads[np.searchsorted(heads, lo) : np.searchsorted(heads, hi)] - lo] = True
+            start = np.flatnonzero(first) + lo
+            if hi == len(points):
+                return start, hi
+            if len(start) > 1:
+                # The last one may go on behind the slice.
+                return start[:-1], int(start[-1])
+            size *= 2
+
+    def _sliced(self, points: np.ndarray, start: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the segments up to ``end``, and where each segment's begin."""
+        size = np.diff(start, append=end)
+        which, chosen = _distinct(points[start[0] : end], start - start[0], size)
         ids, at = self._merged(self.symbol[points[_ranges(start[chosen], size[chosen])]], size[chosen])
         count = np.diff(at)[which]
-        whole = ids[_ranges(at[which], count)]
-        ends = np.append(0, np.cumsum(count))
-        return whole, ends[np.searchsorted(start, offsets)]
+        return ids[_ranges(at[which], count)], np.append(0, np.cumsum(count))
 
     def _merged(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of segments of symbols, and where each segment begins."""

@@ -60,6 +60,12 @@ def test_rounds_and_heap_equal_the_library(model, library, monkeypatch, long):
     assert back == [library.decode(x) for x in lists]
 
 
+def test_slices_of_a_long_text(model, library, monkeypatch):
+    monkeypatch.setattr(pieces, "SLICE", 50)
+    texts = [t for t in odd_texts() if len(t) < 5000][:1500]
+    assert encoded(pieces.encoder_of(model), ["", *texts, "", ""])[0] == library.encode(["", *texts, "", ""])
+
+
 def test_any_ids_decode_as_in_the_library(model, library):
     draw = random.Random(5)
     kinds = [lambda: draw.randrange(3, 32000), lambda: draw.randrange(1, 260), lambda: 259, lambda: 28705]
