@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, merkle, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, substring, token_counts, toxicity
-from .tables import held_out, read
+from . import alignment, decontaminate, language, merkle, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, substring, token_counts, toxicity
+from .tables import held_out, read, written
 
 #: Setting of the folder with the vocabulary files, read by the driver alone, and where it is if unset.
 TOKENIZERS, TOKENIZERS_FOLDER = "spark.lorecairn.tokenizers", "/opt/tokenizers"
@@ -146,6 +146,14 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of two tokenizers that end together in every document, and how usual their links are."""
+    docs = read(spark, folder, "documents")
+    aligned = written(alignment.align(docs, tokenizer_bytes(spark, BYTE_LEVEL), tokenizer_bytes(spark, PIECES)), "aligned")
+    return alignment.describe(aligned, alignment.link_counts(aligned))
+
+
 # What SQL can express.  The others have learned models or random draws and are
 # tested against brute force, planted cases or held-out rows.
 _WORDS = r"""list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""

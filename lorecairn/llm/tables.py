@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: A word: the longest run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -13,6 +17,17 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read again, so that nothing computes them twice.
+
+    The table stays, below a folder named like the application, as its readers may be lazy.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """Which of ``folds`` folds a document is in; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))

@@ -98,14 +98,19 @@ class _Counts(dict):
         return count
 
 
+def byte_of_character() -> dict[str, int]:
+    """The byte that each character of a byte-level tokenizer file stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in set(shown)]
+    return {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(hidden)}
+
+
 def byte_pieces(path: str) -> list[bytes]:
     """Pieces of a byte-level tokenizer file, whose tokens write each byte as one printable character."""
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
     special = {x["content"] for x in model.get("added_tokens", ())}
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [x for x in range(256) if x not in set(shown)]
-    byte = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(hidden)}
+    byte = byte_of_character()
     return [bytes(byte[c] for c in token) for token in model["model"]["vocab"] if token not in special]
 
 
