@@ -16,6 +16,9 @@ path of its parent, so the long paths are only joined once, one third (or half)
 there are leaves.  A path is an array of (before, after): the digests of the run to
 the left and to the right of the node.
 
+Levels and paths are written as tables and read again: a checkpoint would hand on the planner's guess at
+a join's size, a product that grows beyond any number within ten levels of joins.
+
 Digests travel as 32 bytes and are hashed as lower-case hex text.  Rows of null source are a
 tree of their own, before all others; repeated rows are leaves of their own.  The root of an empty
 table does not exist and its manifest has no rows.  A text goes through one hash and leaves its
@@ -30,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .tables import written
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -91,45 +95,48 @@ def _parents(level: DataFrame, arity: int) -> DataFrame:
     first = level.where(F.pmod("idx", F.lit(arity)) == 0)
     return first.select(
         "tree",
-        F.floor(F.col("idx") / arity).alias("idx"),
-        F.floor((F.col("n") + (arity - 1)) / arity).alias("n"),
+        F.expr(f"idx div {arity}").alias("idx"),
+        F.expr(f"(n + {arity - 1}) div {arity}").alias("n"),
         _node(F.concat("digest", "after")).alias("digest"),
     )
 
 
 def grow(nodes: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
-    """All levels with siblings, lowest first, and the roots (tree, level, digest).
+    """All levels with siblings, lowest first, and the roots (tree, level, idx, digest).
 
     There are as many levels as the largest tree is deep; each level is written once.
     """
     levels, roots = [], []
     level = nodes.select("tree", "idx", "n", "digest")
     while True:
-        roots.append(level.where("n = 1").select("tree", F.lit(len(levels)).alias("level"), "digest"))
+        roots.append(level.where("n = 1").select("tree", F.lit(len(levels)).alias("level"), "idx", "digest"))
         several = level.where("n > 1")
         if several.isEmpty():
             break
-        levels.append(cut_lineage(_with_siblings(several, arity)))
+        levels.append(written(_with_siblings(several, arity), "level"))
         level = _parents(levels[-1], arity)
     found = roots[0]
     for more in roots[1:]:
         found = found.unionByName(more)
-    return levels, cut_lineage(found)
+    return levels, written(found, "roots")
 
 
 def paths(levels: list[DataFrame], seeds: DataFrame, arity: int) -> DataFrame:
-    """tree, idx, root, path of every node of the lowest level; ``seeds`` (tree, level, root, path) are the roots."""
+    """tree, idx, root, path of every node of the lowest level; ``seeds`` (tree, level, idx, root, path) are the roots."""
 
     def seeded(level: int) -> DataFrame:
-        return seeds.where(F.col("level") == level).select("tree", F.lit(0).cast("long").alias("idx"), "root", "path")
+        return seeds.where(F.col("level") == level).select("tree", "idx", "root", "path")
 
     known = seeded(len(levels))
     for level in reversed(range(len(levels))):
-        own = levels[level].select("tree", "idx", F.floor(F.col("idx") / arity).alias("__up"), "before", "after")
+        own = levels[level].select("tree", "idx", F.expr(f"idx div {arity}").alias("__up"), "before", "after")
         above = known.select("tree", F.col("idx").alias("__up"), "root", "path")
         path = F.concat(F.array(F.struct("before", "after")), F.col("path"))
         known = own.join(above, ["tree", "__up"]).select("tree", "idx", "root", path.alias("path"))
         known = known.unionByName(seeded(level))
+        if level > 1:
+            # Long chains of joins are slow to plan; the two largest levels are not worth writing.
+            known = written(known, "paths")
     return known
 
 
@@ -152,9 +159,9 @@ def manifest(docs: DataFrame, arity: int = 3, carry: Mapping[str, Column] | None
     sources = cut_lineage(numbered(sources, "named"))
     upper, top = grow(sources, arity)
     root = top.first()
-    over = paths(upper, top.select("tree", "level", F.col("digest").alias("root"), F.array().cast("array<struct<before:binary,after:binary>>").alias("path")), arity)
+    over = paths(upper, top.select("tree", "level", "idx", F.col("digest").alias("root"), F.array().cast("array<struct<before:binary,after:binary>>").alias("path")), arity)
     above = sources.select("named", "idx").join(over.select("idx", "path"), "idx").select(F.col("named").alias("tree"), "path")
-    seeds = cut_lineage(subroots.join(above, "tree").select("tree", "level", F.col("digest").alias("root"), "path"))
+    seeds = written(subroots.join(above, "tree").select("tree", "level", "idx", F.col("digest").alias("root"), "path"), "paths")
     found = leaves.drop("n").join(paths(levels, seeds, arity).withColumnRenamed("root", "subroot"), ["tree", "idx"])
     whole = F.lit(bytes(root["digest"]) if root else None).cast("binary")
     return found.select("doc_id", "source", F.col("digest").alias("leaf"), "subroot", whole.alias("root"), "path", *(carry or {}))
