@@ -1,8 +1,8 @@
 """Replay of ordered command logs, and folding of several commands per key.
 
-Nothing here orders all commands of a key in one task.  The log is cut into
-(key, time chunk) segments; one row per segment carries the state into the
-next one, and everything after that is an aggregate with a map-side part.
+Nothing here orders all commands of a key in one task.  The log is cut into ranges
+of (key, ts, event_id); one row per key and range carries the state into the
+next range, and everything after that is an aggregate with a map-side part.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ STATE = (
 UPDATES = ("set_title", "add_tag", "remove_tag")
 
 
-def fold_tag_operations(operations: DataFrame) -> DataFrame:
+def fold_tag_operations(operations: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Net effect per key of ordered tag operations ``(key, tag, adds, at)``.
 
     Gives ``removed``, the tags removed at some point, and ``added``, the tags
-    whose last operation adds them, in the order they came back.
+    whose last operation adds them, in the order they came back.  With ``held``
+    ``(key, tag)``, the tags before the operations, only those appear in ``removed``, so
+    that no list is longer than the tags of a document.
     """
     removed_at = operations.groupBy("key", "tag").agg(
         F.max(F.when(~F.col("adds"), F.col("at"))).alias("removed_at")
@@ -39,7 +41,10 @@ def fold_tag_operations(operations: DataFrame) -> DataFrame:
         .agg(F.min("at").alias("added_at"))
     )
     net = removed_at.join(added_at, ["key", "tag"], "left")
-    # One entry per distinct tag of the key, which the resulting list holds anyway.
+    if held is not None:
+        known = held.select("key", "tag", F.lit(True).alias("held")).distinct()
+        net = net.join(known, ["key", "tag"], "left").where("held or added_at is not null")
+    # One entry per tag that the key has before or after.
     return net.groupBy("key").agg(
         F.collect_list(F.when(F.col("removed_at").isNotNull(), F.col("tag"))).alias("removed"),
         F.transform(
@@ -63,18 +68,23 @@ def apply_tag_changes(tags: Column, removed: Column, added: Column) -> Column:
     return F.concat(kept, F.filter(fresh, lambda t: ~F.array_contains(kept, t)))
 
 
-def judge(commands: DataFrame, state: DataFrame | None = None, chunk: str = "hour") -> DataFrame:
+def judge(commands: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Add ``status`` to every command ``(key, ts, event_id, op, title, tag)``.
 
     A key starts dead.  An insert on a live key is rejected; an update or
     delete on a dead key is not_found.  With ``state`` the keys continue from
     there, and commands not after a key's last one are late.
+
+    A command maps the liveness before it to the one after it: an insert and a delete
+    to a constant, all others to itself.  These maps compose, so the log is dealt by
+    ranges of (key, ts, event_id) of about equal size, each range composes its own
+    part of a key, and a scan over one row per (key, range) carries the liveness
+    into every range.  A key of any number of commands, also of one instant, takes as many
+    ranges as its size needs.
     """
     at = F.struct("ts", "event_id")
-    log = (
-        commands.withColumn("at", at)
-        .withColumn("chunk", F.date_trunc(chunk, "ts"))
-        .withColumn("starts", F.when(F.col("op") == "insert", True).when(F.col("op") == "delete", False))
+    log = commands.withColumn("at", at).withColumn(
+        "starts", F.when(F.col("op") == "insert", True).when(F.col("op") == "delete", False)
     )
     if state is not None:
         before = state.select(
@@ -87,18 +97,19 @@ def judge(commands: DataFrame, state: DataFrame | None = None, chunk: str = "hou
         )
     else:
         log = log.withColumn("live_before_log", F.lit(False)).withColumn("is_late", F.lit(False))
-    effective = F.when(~F.col("is_late"), F.col("starts"))
-    log = log.withColumn("starts", effective)
+    log = log.withColumn("starts", F.when(~F.col("is_late"), F.col("starts"))).drop("last_at")
 
-    segments = log.groupBy("key", "chunk").agg(
-        F.max_by("starts", F.when(F.col("starts").isNotNull(), F.col("at"))).alias("segment_end")
+    dealt = cut_lineage(log.repartitionByRange("key", "ts", "event_id"))
+    placed = dealt.withColumn("range", F.spark_partition_id())
+    composed = placed.groupBy("key", "range").agg(
+        F.max_by("starts", F.when(F.col("starts").isNotNull(), F.col("at"))).alias("composed")
     )
-    earlier = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = segments.select(
-        "key", "chunk", F.last("segment_end", ignorenulls=True).over(earlier).alias("carried")
+    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = composed.select(
+        "key", "range", F.last("composed", ignorenulls=True).over(earlier).alias("carried")
     )
     within = (
-        Window.partitionBy("key", "chunk")
+        Window.partitionBy("key", "range")
         .orderBy("at")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -115,21 +126,23 @@ def judge(commands: DataFrame, state: DataFrame | None = None, chunk: str = "hou
         .otherwise("applied")
     )
     return (
-        log.join(carried, ["key", "chunk"])
+        placed.join(carried, ["key", "range"])
         .withColumn("live", live)
         .withColumn("status", status)
-        .select("key", "ts", "event_id", "at", "op", "title", "tag", "status")
+        .select("key", "ts", "event_id", "at", "op", "title", "tag", "status", "range")
     )
 
 
-def replay(commands: DataFrame, state: DataFrame | None = None, chunk: str = "hour") -> DataFrame:
+def replay(commands: DataFrame, state: DataFrame | None = None, chunk: str | None = None) -> DataFrame:
     """Final state of every key that appears in ``commands``, in the columns of ``STATE``.
 
+    ``chunk`` is accepted from earlier callers and has no effect: the log is cut by size.
+
     Version counts 1 for the last effective insert plus one per update applied
     since.  A deleted key keeps the values it had.
     """
     # Four aggregates below read the judged log, so it is computed once.
-    judged = cut_lineage(judge(commands, state, chunk))
+    judged = cut_lineage(judge(commands, state))
     applied = F.col("status") == "applied"
     is_insert = applied & (F.col("op") == "insert")
     is_end = applied & F.col("op").isin("insert", "delete")
@@ -155,7 +168,10 @@ def replay(commands: DataFrame, state: DataFrame | None = None, chunk: str = "ho
     tag_changes = fold_tag_operations(
         current.where(F.col("op").isin("add_tag", "remove_tag")).select(
             "key", "tag", (F.col("op") == "add_tag").alias("adds"), "at"
-        )
+        ),
+        held=summary.select("key", F.lit(None).cast("string").alias("tag")).limit(0)
+        if state is None
+        else state.select("key", F.explode("tags").alias("tag")),
     )
     result = summary.join(values, "key", "left").join(tag_changes, "key", "left")
     if state is not None:

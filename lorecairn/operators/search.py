@@ -6,6 +6,8 @@ a large request table goes through equi joins.  Both ways give the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql.types import DataType
 
@@ -270,25 +272,35 @@ def _clauses(query: Column) -> Column:
     return F.flatten(F.transform(parts, parse))
 
 
-def _fold(clauses: Column, found: Column) -> Column:
-    """Evaluate the clauses from left to right against the tokens of a document."""
+def fold_clauses(clauses: Column, hit: Callable[[Column, Column], Column]) -> Column:
+    """Evaluate the clauses from left to right; ``hit`` says whether a clause, given with its place, is met."""
     numbered = F.transform(clauses, lambda c, i: F.struct(c.alias("clause"), i.alias("i")))
 
     def step(so_far: Column, item: Column) -> Column:
         clause, i = item["clause"], item["i"]
-        hit = F.when(
-            clause["prefix"], F.exists(found, lambda t: F.startswith(t, clause["word"]))
-        ).otherwise(F.array_contains(found, clause["word"]))
+        met = hit(clause, i)
         return (
-            F.when(clause["op"] == "-", so_far & ~hit)
-            .when((clause["op"] == "|") | (i == 0), so_far | hit)
-            .otherwise(so_far & hit)
+            F.when(clause["op"] == "-", so_far & ~met)
+            .when((clause["op"] == "|") | (i == 0), so_far | met)
+            .otherwise(so_far & met)
         )
 
     return F.aggregate(numbered, F.lit(False), step)
 
 
-def _text_requests(requests: DataFrame) -> DataFrame:
+def _fold(clauses: Column, found: Column) -> Column:
+    """Evaluate the clauses against the tokens of a document."""
+
+    def hit(clause: Column, i: Column) -> Column:
+        return F.when(
+            clause["prefix"], F.exists(found, lambda t: F.startswith(t, clause["word"]))
+        ).otherwise(F.array_contains(found, clause["word"]))
+
+    return fold_clauses(clauses, hit)
+
+
+def text_requests(requests: DataFrame) -> DataFrame:
+    """Requests that have clauses, with their limits."""
     return with_limits(requests).select(
         "query_id", "max_results", _clauses(F.col("query")).alias("clauses")
     ).where(F.size("clauses") > 0)
@@ -298,7 +310,7 @@ def fulltext_matches(
     docs: DataFrame, requests: DataFrame, column: str = "content", inline: int | None = None
 ) -> DataFrame:
     """All ``(query_id, key, max_results)`` whose words satisfy the request."""
-    prepared = _text_requests(requests)
+    prepared = text_requests(requests)
     rows = _inline(prepared, inline)
     searched = docs.where(F.col(column).isNotNull())
     if rows is not None:

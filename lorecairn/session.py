@@ -50,6 +50,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[context.applicationId]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A folder of the application's own in the shared one, for tables that outlive a function."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -206,6 +206,35 @@ def test_replay_of_one_hot_key_at_one_moment(spark, folder):
     check_state(replay.replay(changes), brute_replay([tuple(r) for r in changes.collect()]))
 
 
+def test_one_key_in_one_second_spreads_over_all_tasks(spark, folder):
+    changes = derived.kb_changes(spark, folder)
+    rows = [("hot", changes.first()["ts"], i, op, f"t{i}", f"g{i % 9}") for i, op in enumerate(["insert", "add_tag", "remove_tag", "set_title", "delete"] * 1600)]
+    hot = spark.createDataFrame(rows, changes.schema)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        judged = replay.judge(hot)
+        sizes = [r["count"] for r in judged.groupBy("range").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 2 * len(rows) / 8
+        check_state(replay.replay(hot), brute_replay(rows))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_removed_tags_make_no_long_list(spark, folder):
+    schema = derived.kb_changes(spark, folder).schema
+    moment = derived.kb_changes(spark, folder).first()["ts"]
+    rows = [("k", moment, 0, "insert", "t", None), ("k", moment, 1, "add_tag", None, "kept")]
+    rows += [("k", moment, 2 + i, "remove_tag", None, f"x{i}") for i in range(300)]
+    state = replay.replay(spark.createDataFrame(rows, schema))
+    check_state(state, brute_replay(rows))
+    operations = [("k", f"x{i}", False, i) for i in range(300)] + [("k", "kept", False, 500), ("k", "new", True, 501)]
+    folded = replay.fold_tag_operations(
+        spark.createDataFrame(operations, "key string, tag string, adds boolean, at int"),
+        state.select("key", F.explode("tags").alias("tag")),
+    ).collect()
+    assert [(r["removed"], r["added"]) for r in folded] == [(["kept"], ["new"])]
+
+
 @pytest.mark.parametrize("parts", [2, 5])
 def test_replay_continues_from_a_state(spark, folder, parts):
     changes = derived.kb_changes(spark, folder)
