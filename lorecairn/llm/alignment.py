@@ -20,8 +20,9 @@ which is then broadcast.
 The aligned table is written once, so texts are tokenised once.
 
 Texts that are null, empty or not given back by both tokenizers (those with U+2581) have no
-tokens.  Repeated rows count each time.  Long texts go through A in parts that end
-between an ASCII letter and a space before another, where it cuts anyhow; memory is bounded by the longest
+tokens.  Repeated rows count each time.  Texts go through A in parts that begin with a space between two visible
+ASCII characters, where it cuts anyhow: short parts in ASCII through a faster library with the same merges, all
+others through the library of the file.  Memory is bounded by the longest
 text, some two hundred bytes per byte of it where there is no such place.
 """
 
@@ -46,8 +47,10 @@ from .token_counts import byte_of_character
 #: Ends of both sides in one piece of the merge path.
 PIECE = 1 << 14
 CHUNK_BYTES, CHUNK_ROWS = 1 << 19, 4096
-#: Texts are handed to tokenizer A in parts of about so many bytes.
-PART_BYTES = 1 << 16
+#: Parts of texts up to this size are left to the faster library, which is slow for very long words.
+QUICK_BYTES = 512
+# Fixed value: the pattern by which byte-level tokenizers cut text before they merge.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens whose groups are written as text at once, the longest list apart.
 DESCRIBE_TOKENS = 1 << 18
 _ALIGNED = [T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("a", "b", "a_sizes", "b_sizes")]
@@ -96,6 +99,7 @@ class ByteTokenizer:
         byte = byte_of_character()
         described = json.loads(file)
         tokens = {i: bytes(byte[c] for c in token) for token, i in described["model"]["vocab"].items() if set(token) <= byte.keys()}
+        self.quick = self._quick(described, tokens)
         tokens |= {x["id"]: x["content"].encode() for x in described.get("added_tokens", ()) if x["id"] not in tokens}
         shown = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.size = np.array([len(x) for x in shown])
@@ -105,38 +109,49 @@ class ByteTokenizer:
     def raw(self, ids: np.ndarray) -> np.ndarray:
         return self.bytes[_ranges(self.at[ids], self.size[ids])]
 
+    def _quick(self, described: dict, tokens: dict[int, bytes]):
+        """A faster library for ASCII, if the file has its pattern and each merge makes the next id."""
+        import tiktoken
+
+        pretokenizer, merges = described.get("pre_tokenizer") or {}, described["model"]["merges"]
+        plain = pretokenizer.get("type") == "ByteLevel" and pretokenizer.get("use_regex", True) and not described.get("normalizer")
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        vocabulary = described["model"]["vocab"]
+        if not plain or any(vocabulary["".join(pair)] != 256 + i for i, pair in enumerate(pairs)):
+            return None
+        ranks = {tokens[i]: i for i in range(256 + len(pairs))}
+        return tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts of bytes, one after the other, and where each text begins."""
-        parts, owner = [], []
-        for row, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            for at, end in _parts(data, lo, hi):
-                parts.append(data[at:end].tobytes().decode())
-                owner.append(row)
-        found = [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-        count = np.bincount(np.array(owner, dtype=np.int64), weights=[len(x) for x in found], minlength=len(offsets) - 1)
-        flat = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(count.sum()))
-        return flat, np.append(0, np.cumsum(count)).astype(np.int64)
-
-
-def _parts(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    """Ranges of one text that can be tokenised apart: each begins with a space between two ASCII letters."""
-    while hi - lo > 2 * PART_BYTES:
-        at = lo + PART_BYTES
-        while True:
-            near = data[at : min(at + PART_BYTES, hi)]
-            low = near | 0x20
-            letter = (low >= 97) & (low <= 122) & (near < 128)
-            cut = np.flatnonzero((near[1:-1] == 32) & letter[:-2] & letter[2:])
-            if len(cut) or at + PART_BYTES >= hi:
-                break
-            at += PART_BYTES
-        if not len(cut):
-            break
-        at += int(cut[0]) + 1
-        yield lo, at
-        lo = at
-    if hi > lo:
-        yield lo, hi
+        if not len(data):
+            return np.zeros(0, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
+        start = segments(data, offsets)
+        size = np.diff(start, append=len(data))
+        quick = (np.maximum.reduceat(data, start) < 128) & (size <= QUICK_BYTES) & (self.quick is not None)
+        # Neighbouring parts of one text that are quick to tokenise go together.
+        own = np.ones(len(start), dtype=bool)
+        own[1:] = ~(quick[1:] & quick[:-1]) | np.isin(start[1:], offsets)
+        head, fast = start[own], quick[own].tolist()
+        texts = [data[lo:hi].tobytes().decode() for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(data)], strict=True)]
+        others = list({t for t, f in zip(texts, fast, strict=True) if not f})
+        known = dict(zip(others, (x.ids for x in self.library.encode_batch_fast(others, add_special_tokens=False)), strict=True))
+        found = [self.quick.encode_to_numpy(t, disallowed_special=()) if f else known[t] for t, f in zip(texts, fast, strict=True)]
+        ends = np.append(0, np.cumsum(np.array([len(x) for x in found], dtype=np.int64)))
+        return np.concatenate(found).astype(np.int64), ends[np.searchsorted(head, offsets)]
+
+
+def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the parts of texts begin that a byte-level tokenizer handles apart.
+
+    A space between two visible ASCII characters begins a new part: the patterns of such
+    tokenizers join a space to what follows, and nothing looks across it.
+    """
+    visible = (data > 0x20) & (data < 0x7F)
+    first = np.zeros(len(data), dtype=bool)
+    first[1:-1] = (data[1:-1] == 0x20) & visible[:-2] & visible[2:]
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(first)
 
 
 _tokenizers: dict[int, ByteTokenizer] = {}
