@@ -46,9 +46,9 @@ from .textarrays import Chunk, chunks, mix, ngram_hash, words
 
 BITMAP_BITS = 2048
 #: Members of one side of a block comparison.
-TILE_ROWS = 256
+TILE_ROWS = 2048
 _ENTRY = {"key": np.dtype("<u8"), "doc": np.dtype("<i8"), "behind": np.dtype("<i8")}
-_STAR = "tile long, leader long, member long"
+_STAR = "leader long, member long, tiles long"
 
 
 def shingles(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,31 +192,48 @@ def measured(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 
 
+def _pair_counts(leader: np.ndarray, member: np.ndarray, tiles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (leader, member) once, with its tiles added up."""
+    order = np.lexsort((member, leader))
+    leader, member, tiles = leader[order], member[order], tiles[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (leader[1:] != leader[:-1]) | (member[1:] != member[:-1])
+    head = np.flatnonzero(new)
+    return leader[head], member[head], np.add.reduceat(tiles, head) if len(head) else tiles
+
+
 def stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """tile, leader, member: every tile of several documents as a star around a small id."""
+    """leader, member, tiles: every tile of several documents as a star around a small id.
+
+    ``tiles`` counts those of the pair in one place; a pair may come from several places.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         entries, seen = 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            # Of a tile's members in the block the first goes on; the others are behind it.
+            # Of a tile's members in the block the first goes on; the others are pairs with it already.
             key, doc = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
             order = np.lexsort((doc, key))
             key, doc = key[order], doc[order]
             head, run = runs(key)
             leader = doc[head][run]
-            kept = np.ones(len(key), dtype=bool)
-            kept[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            behind = doc - leader
-            bucket = np.where(behind == 0, bucket_of(key), np.arange(len(key)) // 512 % 1024)
-            yield from pack(bucket[kept], {"key": key[kept], "doc": leader[kept], "behind": behind[kept]})
+            other = np.ones(len(key), dtype=bool)
+            other[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            other &= doc != leader
+            settled, member, tiles = _pair_counts(leader[other], doc[other], np.ones(int(other.sum()), dtype=np.int64))
+            # A pair travels as an entry with the number of its tiles in place of a tile's name.
+            names = np.concatenate([key[head], tiles.astype(np.uint64)])
+            behind = np.concatenate([np.zeros(len(head), dtype=np.int64), member - settled])
+            bucket = np.concatenate([bucket_of(key[head]), bucket_of(mix(member.astype(np.uint64)))])
+            yield from pack(bucket, {"key": names, "doc": np.concatenate([doc[head], settled]), "behind": behind})
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for chunk in chunks(batch.column("text")):
                 hashes, first = shingles(chunk, n)
-                # Equal sets are linked by their digests; one of them stands for all that the task has.
+                # Equal sets are linked by their digests; one of them stands for all of the block.
                 digests = list(zip(*(x.tolist() for x in _digest(hashes, first)), strict=True))
                 fresh = np.zeros(chunk.rows, dtype=bool)
                 for row, digest in enumerate(digests):
@@ -233,13 +250,14 @@ def stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if entries >= BLOCK_ENTRIES:
                     yield from flush()
                     parts, entries = [], 0
+                    seen.clear()
         if entries:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = unpack(batches, _ENTRY)
         settled = own["behind"] != 0
-        tile, leader = own["key"][settled], own["doc"][settled]
+        leader, tiles = own["doc"][settled], own["key"][settled].astype(np.int64)
         member = leader + own["behind"][settled]
         key, doc = own["key"][~settled], own["doc"][~settled]
         order = np.lexsort((doc, key))
@@ -247,9 +265,10 @@ def stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
         head, run = runs(key)
         first = doc[head][run] if len(run) else doc
         other = (doc != first) & np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
-        columns = [np.concatenate([a, b[other]]).view(np.int64) for a, b in ((tile, key), (leader, first), (member, doc))]
+        more = np.ones(int(other.sum()), dtype=np.int64)
+        columns = _pair_counts(*(np.concatenate(x) for x in ((leader, first[other]), (member, doc[other]), (tiles, more))))
         for lo in range(0, len(columns[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in columns], ["tile", "leader", "member"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in columns], ["leader", "member", "tiles"])
 
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return spread(known.mapInArrow(send, packed_schema(_ENTRY))).mapInArrow(meet, _STAR)
@@ -390,9 +409,8 @@ def _paired(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> tuple[Dat
     # Rows of one id are one node: the id's smallest representative links them all.
     first = sets_known.groupBy(*same).agg(F.min("doc_id").cast("long").alias("rep"))
     nodes = cut_lineage(sets_known.join(first, same).select(F.col("doc_id").cast("long").alias("doc"), "rep"))
-    star = cut_lineage(stars(docs, n, percent))
     # Copies stand for their set: pairs are of different sets, and few documents' sets are needed.
-    pairs = star.groupBy("leader", "member").agg(F.count("*").alias("tiles"))
+    pairs = stars(docs, n, percent).groupBy("leader", "member").agg(F.sum("tiles").alias("tiles"))
     for side, name in (("leader", "a"), ("member", "b")):
         pairs = pairs.join(nodes.select(F.col("doc").alias(side), F.col("rep").alias(name)), side)
     pairs = cut_lineage(pairs.where("a <> b").groupBy("a", "b").agg(F.sum("tiles").alias("tiles")))

@@ -2,9 +2,8 @@
 
 A request table of proven small size travels with the scan of the documents:
 every task multiplies its Arrow batches with the request matrix and keeps k
-rows per request, so only those are shuffled.  A larger table is joined block
-by block: both sides are cut into blocks of bounded size by a hash, each pair
-of blocks meets in one task, and again only k rows per request leave it.
+rows per request, so only those are shuffled.  A larger table visits cells of
+documents around pivots, and skips those that cannot hold one of the k best.
 """
 
 from __future__ import annotations
@@ -13,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions import text
 from ..functions.vectors import hash_embedding
 from ..session import bounded_rows
+from . import cells
 from .ranking import (
     attach_documents,
     clamp_results,
@@ -31,9 +31,8 @@ from .ranking import (
 #: Up to this many requests, and this many vector cells, travel with the scan.
 INLINE_VECTORS = 4096
 INLINE_CELLS = 4_000_000
-#: Rows per block of the block join.
+#: Vectors per block of a cell, which a task holds.
 DOCUMENT_BLOCK = 50_000
-REQUEST_BLOCK = 8_192
 #: Requests multiplied at a time, which bounds the score matrix in memory.
 STRIPE = 256
 #: Relative error that a matrix product is trusted to stay below.
@@ -66,7 +65,7 @@ def _keep_best(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered[ordered.groupby("query_id").cumcount() < k]
 
 
-def _best_of_batch(
+def best_of_batch(
     keys: np.ndarray,
     documents: np.ndarray,
     ids: np.ndarray,
@@ -102,7 +101,7 @@ def _best_of_batch(
     return pd.concat(parts, ignore_index=True)
 
 
-def _emit(kept: pd.DataFrame) -> pd.DataFrame:
+def emit(kept: pd.DataFrame) -> pd.DataFrame:
     # An empty column has no text type of its own, and Arrow output needs one.
     return kept.assign(key=kept["key"].astype(object))
 
@@ -111,7 +110,7 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.vstack(vectors.to_numpy()).astype(np.float64)
 
 
-def _floors(limits: pd.Series) -> np.ndarray:
+def floors(limits: pd.Series) -> np.ndarray:
     return limits.fillna(-np.inf).to_numpy(dtype=float)
 
 
@@ -121,13 +120,14 @@ def nearest(
     metric: str = "cosine",
     inline: int | None = None,
     document_block: int = DOCUMENT_BLOCK,
-    request_block: int = REQUEST_BLOCK,
+    request_block: int | None = None,
 ) -> DataFrame:
     """Best documents per request: ``(query_id, rank, key, score)``.
 
     ``requests`` has query_id (any type), vector, max_results (10 if null) and
     min_score (null for no threshold).  The score is the cosine, or 1 minus the L2 distance for
-    ``metric="l2"``.  Vectors of another dimension are not compared.
+    ``metric="l2"``.  Vectors of another dimension are not compared.  ``request_block`` is
+    accepted from earlier callers and has no effect: requests are streamed.
     """
     wanted = with_limits(requests).select(
         "query_id",
@@ -149,7 +149,7 @@ def nearest(
         limits = None
     else:
         k = largest(wanted, "max_results")
-        scored = _blocks(vectors, wanted, k, metric, document_block, request_block, result)
+        scored = cells.search(vectors, wanted, k, metric, document_block, result).scored
         limits = wanted.select("query_id", "max_results")
     order = [F.desc("score"), F.asc("key")]
     top = top_per_request(scored, ["query_id"], order, k)
@@ -185,69 +185,17 @@ def _scan(vectors: DataFrame, rows: list, k: int, metric: str, result: StructTyp
                 same = batch[sizes == size]
                 if same.empty:
                     continue
-                found = _best_of_batch(
+                found = best_of_batch(
                     same["key"].to_numpy(), _matrix(same["embedding"]), ids, matrix, floors, k, metric
                 )
                 kept = found if kept is None else _keep_best(pd.concat([kept, found]), k)
         if kept is not None:
-            yield _emit(kept)
+            yield emit(kept)
 
     comparable = vectors.where(F.size("embedding").isin(*blocks)) if blocks else vectors.limit(0)
     return comparable.mapInPandas(best, result)
 
 
-def _blocks(
-    vectors: DataFrame,
-    requests: DataFrame,
-    k: int,
-    metric: str,
-    doc_block: int,
-    request_block: int,
-    result: StructType,
-) -> DataFrame:
-    doc_blocks = max(1, -(-vectors.count() // doc_block))
-    request_blocks = max(1, -(-requests.count() // request_block))
-
-    def numbered(column: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    def every(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = vectors.select(
-        "key",
-        "embedding",
-        F.size("embedding").alias("size"),
-        numbered("key", doc_blocks).alias("db"),
-        every(request_blocks).alias("rb"),
-    )
-    right = requests.select(
-        "query_id",
-        "vector",
-        "min_score",
-        F.size("vector").alias("size"),
-        numbered("query_id", request_blocks).alias("rb"),
-        every(doc_blocks).alias("db"),
-    )
-
-    def best(documents: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if documents.empty or wanted.empty:
-            return _emit(pd.DataFrame({"query_id": [], "key": [], "score": []}))
-        ids = wanted["query_id"].to_numpy()
-        matrix, floors = _matrix(wanted["vector"]), _floors(wanted["min_score"])
-        kept = None
-        for start in range(0, len(documents), 10_000):
-            part = documents.iloc[start : start + 10_000]
-            found = _best_of_batch(
-                part["key"].to_numpy(), _matrix(part["embedding"]), ids, matrix, floors, k, metric
-            )
-            kept = found if kept is None else _keep_best(pd.concat([kept, found]), k)
-        return _emit(kept)
-
-    pair = ["db", "rb", "size"]
-    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(best, result)
-
-
 def nearest_l2(docs: DataFrame, requests: DataFrame, inline: int | None = None) -> DataFrame:
     """Ranked by 1 minus the L2 distance, without a threshold."""
     open_requests = requests.withColumn("min_score", F.lit(None).cast("double"))
