@@ -17,7 +17,8 @@ of different links is at most the bytes of both vocabularies, whatever the corpu
 That bounds the table of counts, which each task adds up before it is shuffled and
 which is then broadcast.
 
-The aligned table is written once, so texts are tokenised once.
+The aligned table is written once, so texts are tokenised once; its lists travel as packed bytes,
+which the JVM passes on without looking at each number.
 
 Texts that are null, empty or not given back by both tokenizers (those with U+2581) have no
 tokens.  Repeated rows count each time.  Texts go through A in parts that begin with a space between two visible
@@ -36,6 +37,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,14 +48,14 @@ from .token_counts import byte_of_character
 
 #: Ends of both sides in one piece of the merge path.
 PIECE = 1 << 14
-CHUNK_BYTES, CHUNK_ROWS = 1 << 19, 4096
+CHUNK_BYTES, CHUNK_ROWS = 1 << 18, 4096
 #: Parts of texts up to this size are left to the faster library, which is slow for very long words.
 QUICK_BYTES = 512
 # Fixed value: the pattern by which byte-level tokenizers cut text before they merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens whose groups are written as text at once, the longest list apart.
 DESCRIBE_TOKENS = 1 << 18
-_ALIGNED = [T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("a", "b", "a_sizes", "b_sizes")]
+_LISTS = ("a", "b", "a_sizes", "b_sizes")
 
 
 def crossings(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -202,15 +204,21 @@ def align_chunk(chunk: Chunk, one: ByteTokenizer, two: Encoder) -> tuple[list[tu
     return sides, groups
 
 
-def _lists(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int32)))
+def _lists(values: np.ndarray, first: np.ndarray, packed: bool) -> pa.Array:
+    if not packed:
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int32)))
+    # Offsets and values, four bytes a number; a chunk holds far less than 2 GB.
+    places, data = (first * 4).astype("<i4"), values.astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)])
 
 
-def align(docs: DataFrame, byte_level: bytes, pieces: bytes) -> DataFrame:
+def align(docs: DataFrame, byte_level: bytes, pieces: bytes, packed: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, the ids ``a`` and ``b``, and how many of each are in every group: ``a_sizes``, ``b_sizes``.
 
-    ``byte_level`` and ``pieces`` are the contents of the two vocabulary files.
+    ``byte_level`` and ``pieces`` are the contents of the two vocabulary files.  The four are arrays of int, or
+    with ``packed`` the same numbers as binary, four bytes each, lowest first; what follows takes both.
     """
+    kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
     shared = docs.sparkSession.sparkContext.broadcast((byte_level, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,23 +226,34 @@ def align(docs: DataFrame, byte_level: bytes, pieces: bytes) -> DataFrame:
         for batch in batches:
             for chunk in chunks(batch.column("text"), CHUNK_BYTES, rows=CHUNK_ROWS):
                 sides, groups = align_chunk(chunk, one, two)
-                columns = [_lists(*x) for x in (*sides, *groups)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(chunk.lo, chunk.rows), *columns], ["doc_id", *(f.name for f in _ALIGNED)]
-                )
+                columns = [_lists(*x, packed) for x in (*sides, *groups)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.lo, chunk.rows), *columns], ["doc_id", *_LISTS])
+
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(x, kind) for x in _LISTS)]))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *_ALIGNED]))
+def _lengths(lists: pa.Array) -> np.ndarray:
+    """Numbers in each row, of arrays or packed."""
+    if pa.types.is_binary(lists.type):
+        return pc.binary_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column, and where those of each row begin."""
     lists = batch.column(name)
-    first = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), first
+    first = np.append(0, np.cumsum(_lengths(lists)))
+    if not pa.types.is_binary(lists.type):
+        return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), first
+    _, places, data = lists.buffers()
+    begin = int(np.frombuffer(places, dtype="<i4")[lists.offset]) if len(lists) else 0
+    numbers = np.frombuffer(data, dtype="<i4", offset=begin, count=int(first[-1])) if first[-1] else np.zeros(0, dtype="<i4")
+    return numbers.astype(np.int64), first
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Rows of a batch with about ``DESCRIBE_TOKENS`` tokens at a time."""
-    upto = np.append(0, np.cumsum(sum(batch.column(x).value_lengths().to_numpy(zero_copy_only=False) for x in ("a", "b"))))
+    upto = np.append(0, np.cumsum(sum(_lengths(batch.column(x)) for x in ("a", "b"))))
     lo = 0
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + DESCRIBE_TOKENS, side="right")) - 1)
@@ -245,7 +264,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _link_names(batch: pa.RecordBatch) -> np.ndarray:
     """A id and B id of the link at the end of every group, in one number."""
-    (a, _), (b, _), (a_sizes, _), (b_sizes, _) = (_flat(batch, f.name) for f in _ALIGNED)
+    (a, _), (b, _), (a_sizes, _), (b_sizes, _) = (_flat(batch, x) for x in _LISTS)
     return (a[np.cumsum(a_sizes) - 1] << 32) | b[np.cumsum(b_sizes) - 1]
 
 
@@ -267,7 +286,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
                 ["a", "b", "links"],
             )
 
-    counted = aligned.select(*(f.name for f in _ALIGNED)).mapInArrow(run, "a int, b int, links long")
+    counted = aligned.select(*_LISTS).mapInArrow(run, "a int, b int, links long")
     return counted.groupBy("a", "b").agg(F.sum("links").alias("links"))
 
 
@@ -281,7 +300,7 @@ def _decimals(count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _group_texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Groups of every row as ``a1,a2|b1;a3|b2``: bytes with a separator behind each row, and where rows begin."""
-    (a, a_first), (b, b_first), (a_sizes, _), (b_sizes, _) = (_flat(batch, f.name) for f in _ALIGNED)
+    (a, a_first), (b, b_first), (a_sizes, _), (b_sizes, _) = (_flat(batch, x) for x in _LISTS)
     a_end, b_end = np.cumsum(a_sizes), np.cumsum(b_sizes)
     # A token stands behind all earlier ones of its side, and behind those of the other side that come first.
     ids = np.empty(len(a) + len(b), dtype=np.int64)
@@ -330,4 +349,4 @@ def describe(aligned: DataFrame, counts: DataFrame) -> DataFrame:
                 )
 
     schema = [aligned.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in numbers), T.StructField("groups_sha256", T.StringType())]
-    return aligned.select("doc_id", *(f.name for f in _ALIGNED)).mapInArrow(run, T.StructType(schema))
+    return aligned.select("doc_id", *_LISTS).mapInArrow(run, T.StructType(schema))

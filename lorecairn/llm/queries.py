@@ -150,7 +150,8 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of two tokenizers that end together in every document, and how usual their links are."""
     docs = read(spark, folder, "documents")
-    aligned = written(alignment.align(docs, tokenizer_bytes(spark, BYTE_LEVEL), tokenizer_bytes(spark, PIECES)), "aligned")
+    vocabularies = tokenizer_bytes(spark, BYTE_LEVEL), tokenizer_bytes(spark, PIECES)
+    aligned = written(alignment.align(docs, *vocabularies, packed=True), "aligned")
     return alignment.describe(aligned, alignment.link_counts(aligned))
 
 

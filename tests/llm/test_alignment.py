@@ -121,3 +121,12 @@ def test_parts_are_tokenised_like_the_whole(files):
         ids, first = one.encode(np.frombuffer(b"".join(data), dtype=np.uint8), offsets)
         whole = [x.ids for x in one.library.encode_batch(texts, add_special_tokens=False)]
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == whole
+
+
+@pytest.mark.parametrize("tokens", [40, 1 << 18])
+def test_packed_lists_give_the_same_rows(spark, awkward, files, monkeypatch, tokens):
+    monkeypatch.setattr(alignment, "DESCRIBE_TOKENS", tokens)
+    arrays, packed = (written(alignment.align(awkward, *files, packed=x), "aligned") for x in (False, True))
+    assert [t for _, t in packed.dtypes[1:]] == ["binary"] * 4
+    rows = [Counter(map(tuple, alignment.describe(x, alignment.link_counts(x)).collect())) for x in (arrays, packed)]
+    assert rows[0] == rows[1] and sum(rows[0].values()) == awkward.count()
