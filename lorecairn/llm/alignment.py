@@ -22,8 +22,8 @@ which the JVM passes on without looking at each number.
 
 Texts that are null, empty or not given back by both tokenizers (those with U+2581) have no
 tokens.  Repeated rows count each time.  Texts go through A in parts that begin with a space between two visible
-ASCII characters, where it cuts anyhow: short parts in ASCII through a faster library with the same merges, all
-others through the library of the file.  Memory is bounded by the longest
+ASCII characters, where it cuts anyhow.  Equal parts of a chunk are tokenised once: short ones of ASCII and Latin letters
+side by side through a faster library with the same merges, all others through the library of the file.  Memory is bounded by the longest
 text, some two hundred bytes per byte of it where there is no such place.
 """
 
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pieces import Encoder, _ranges, encoder_of
+from .pieces import Encoder, _distinct, _ranges, encoder_of
 from .textarrays import Chunk, chunks
 from .token_counts import byte_of_character
 
@@ -53,6 +53,11 @@ CHUNK_BYTES, CHUNK_ROWS = 1 << 19, 4096
 QUICK_BYTES = 512
 # Fixed value: the pattern by which byte-level tokenizers cut text before they merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_VISIBLE = np.zeros(256, dtype=bool)
+_VISIBLE[0x21:0x7F] = True
+#: Bytes of ASCII and of U+00C0 to U+027F, which all libraries sort alike into letters, digits and the rest.
+_QUICK = np.zeros(256, dtype=bool)
+_QUICK[[*range(0xC0), *range(0xC3, 0xCA)]] = True
 #: Tokens whose groups are written as text at once, the longest list apart.
 DESCRIBE_TOKENS = 1 << 18
 _LISTS = ("a", "b", "a_sizes", "b_sizes")
@@ -130,17 +135,36 @@ class ByteTokenizer:
             return np.zeros(0, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
         start = segments(data, offsets)
         size = np.diff(start, append=len(data))
-        quick = (np.maximum.reduceat(data, start) < 128) & (size <= QUICK_BYTES) & (self.quick is not None)
-        # Neighbouring parts of one text that are quick to tokenise go together.
-        own = np.ones(len(start), dtype=bool)
-        own[1:] = ~(quick[1:] & quick[:-1]) | np.isin(start[1:], offsets)
-        head, fast = start[own], quick[own].tolist()
-        texts = [data[lo:hi].tobytes().decode() for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(data)], strict=True)]
-        others = list({t for t, f in zip(texts, fast, strict=True) if not f})
-        known = dict(zip(others, (x.ids for x in self.library.encode_batch_fast(others, add_special_tokens=False)), strict=True))
-        found = [self.quick.encode_to_numpy(t, disallowed_special=()) if f else known[t] for t, f in zip(texts, fast, strict=True)]
-        ends = np.append(0, np.cumsum(np.array([len(x) for x in found], dtype=np.int64)))
-        return np.concatenate(found).astype(np.int64), ends[np.searchsorted(head, offsets)]
+        which, chosen = _distinct(data, start, size)
+        ids, begin, count = self._parts(data, start[chosen], size[chosen])
+        count = count[which]
+        upto = np.append(0, np.cumsum(count))
+        return ids[_ranges(begin[which], count)], upto[np.searchsorted(start, offsets)]
+
+    def _parts(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different parts, and where those of each part begin and how many they are."""
+        flat = data[_ranges(start, size)]
+        head = np.cumsum(size) - size
+        quick = np.logical_and.reduceat(_QUICK[flat], head) & (size > 1) & (size <= QUICK_BYTES) & (self.quick is not None)
+        # Such parts may stand side by side: each is cut off again where its space begins.
+        quick &= (flat[head] == 0x20) & _VISIBLE[flat[np.minimum(head + 1, len(flat) - 1)]] & _VISIBLE[flat[head + size - 1]]
+        begin, count = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
+        found, total = [np.zeros(0, dtype=np.int64)], 0
+        if quick.any():
+            text = data[_ranges(start[quick], size[quick])].tobytes().decode()
+            ids = self.quick.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(size[quick])) + 1
+            count[quick] = np.diff(ends, prepend=0)
+            begin[quick] = ends - count[quick]
+            found.append(ids)
+            total = len(ids)
+        slow = np.flatnonzero(~quick)
+        texts = [data[lo:hi].tobytes().decode() for lo, hi in zip(start[slow].tolist(), (start[slow] + size[slow]).tolist(), strict=True)]
+        lists = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        count[slow] = [len(x) for x in lists]
+        begin[slow] = total + np.cumsum(count[slow]) - count[slow]
+        found += [np.array(x, dtype=np.int64) for x in lists]
+        return np.concatenate(found), begin, count
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -149,7 +173,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     A space between two visible ASCII characters begins a new part: the patterns of such
     tokenizers join a space to what follows, and nothing looks across it.
     """
-    visible = (data > 0x20) & (data < 0x7F)
+    visible = _VISIBLE[data]
     first = np.zeros(len(data), dtype=bool)
     first[1:-1] = (data[1:-1] == 0x20) & visible[:-2] & visible[2:]
     first[offsets[:-1][np.diff(offsets) > 0]] = True
