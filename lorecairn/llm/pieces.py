@@ -49,6 +49,7 @@ DECODE_IDS = 1 << 17
 _NONE = np.iinfo(np.int32).max
 _CHARACTERS = 0x110000
 _SIEVE_BITS = 22
+_SLOT_BITS = 20
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -128,9 +129,12 @@ class Encoder:
                 ids = [known.get(x, int(symbol[ord(x)]) if len(x) == 1 else None) for x in sides]
                 if None not in ids:
                     pairs[ids[0] * self.width + ids[1]] = (rank_of[model.scores[made]], made)
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()] + [_NONE], dtype=np.int32)
-        self.made = np.array([pairs[k][1] for k in self.keys.tolist()] + [-1], dtype=np.int64)
+        # The last place stands for no pair.
+        self.none = len(pairs)
+        self.keys = np.array([*sorted(pairs), -1], dtype=np.int64)
+        self.ranks = np.array([pairs[k][0] for k in self.keys[:-1].tolist()] + [_NONE], dtype=np.int32)
+        self.made = np.array([pairs[k][1] for k in self.keys[:-1].tolist()] + [-1], dtype=np.int64)
+        self.tables = self._tables()
         left, right = (np.array([x[i] for x in sorted(neighbours)], dtype=np.int64) for i in (0, 1))
         self.sieve = np.zeros(1 << _SIEVE_BITS, dtype=bool)
         self.sieve[self._sieve_place(left, right)] = True
@@ -141,12 +145,30 @@ class Encoder:
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair of symbols in the tables; the last place stands for none."""
-        if not len(self.keys):
-            return np.zeros(len(left), dtype=np.int64)
         key = left * self.width + right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, at, len(self.keys))
+        at = self.tables[0][self._slot(key, 0)]
+        # An empty slot ends the search; a slot with another pair leads to the next table.
+        open_ = np.flatnonzero((self.keys[at] != key) & (at != self.none))
+        for i, table in enumerate(self.tables[1:], 1):
+            at[open_] = table[self._slot(key[open_], i)]
+            open_ = open_[(self.keys[at[open_]] != key[open_]) & (at[open_] != self.none)]
+        at[open_] = self.none
+        return at
+
+    @staticmethod
+    def _slot(key: np.ndarray, table: int) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 0x5851F42D4C957F2C * table & (1 << 64) - 1) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+
+    def _tables(self) -> list[np.ndarray]:
+        """Places of the pairs by hash; a pair whose slot is taken goes to the next table."""
+        rest, tables = np.arange(self.none), []
+        while len(rest) or not tables:
+            slot = self._slot(self.keys[rest], len(tables))
+            table = np.full(1 << _SLOT_BITS, self.none)
+            table[slot] = rest
+            tables.append(table)
+            rest = rest[table[slot] != rest]
+        return tables
 
     # --- encoding ----------------------------------------------------------
 
@@ -207,7 +229,7 @@ class Encoder:
                 parts.append((np.full(len(merged), i), np.array(merged, dtype=np.int64)))
             short = ~long[segment]
             symbols, segment = symbols[short], segment[short]
-        place = np.full(len(symbols), len(self.keys))
+        place = np.full(len(symbols), self.none)
         if len(symbols):
             inner = np.flatnonzero(segment[1:] == segment[:-1])
             place[inner] = self.pairs(symbols[inner], symbols[inner + 1])
@@ -235,7 +257,7 @@ class Encoder:
             symbols, segment, place, fresh = symbols[keep], segment[keep], place[keep], fresh[keep]
             fresh[:-1] |= fresh[1:]
             fresh = np.flatnonzero(fresh)
-            place[fresh] = len(self.keys)
+            place[fresh] = self.none
             fresh = fresh[fresh + 1 < len(symbols)]
             fresh = fresh[segment[fresh] == segment[fresh + 1]]
             place[fresh] = self.pairs(symbols[fresh], symbols[fresh + 1])
