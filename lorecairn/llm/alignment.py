@@ -48,7 +48,7 @@ from .token_counts import byte_of_character
 
 #: Ends of both sides in one piece of the merge path.
 PIECE = 1 << 14
-CHUNK_BYTES, CHUNK_ROWS = 1 << 19, 4096
+CHUNK_BYTES, CHUNK_ROWS = 1 << 18, 4096
 #: Parts of texts up to this size are left to the faster library, which is slow for very long words.
 QUICK_BYTES = 512
 # Fixed value: the pattern by which byte-level tokenizers cut text before they merge.
@@ -228,19 +228,31 @@ def align_chunk(chunk: Chunk, one: ByteTokenizer, two: Encoder) -> tuple[list[tu
     return sides, groups
 
 
-def _lists(values: np.ndarray, first: np.ndarray, packed: bool) -> pa.Array:
-    if not packed:
-        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int32)))
-    # Offsets and values, four bytes a number; a chunk holds far less than 2 GB.
-    places, data = (first * 4).astype("<i4"), values.astype("<i4")
-    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)])
+def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _binary(data: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Bytes of each row; a chunk holds far less than 2 GB."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(first.astype("<i4")), pa.py_buffer(data)])
+
+
+def _marks(first: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A bit for each token of a row, set where a group ends."""
+    count = np.diff(first)
+    begin = np.append(0, np.cumsum(-(-count // 8)))
+    ends = np.cumsum(sizes) - 1
+    flags = np.zeros(8 * int(begin[-1]), dtype=np.uint8)
+    flags[_ranges(8 * begin[:-1], count)[ends]] = 1
+    return _binary(np.packbits(flags), begin)
 
 
 def align(docs: DataFrame, byte_level: bytes, pieces: bytes, packed: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, the ids ``a`` and ``b``, and how many of each are in every group: ``a_sizes``, ``b_sizes``.
 
-    ``byte_level`` and ``pieces`` are the contents of the two vocabulary files.  The four are arrays of int, or
-    with ``packed`` the same numbers as binary, four bytes each, lowest first; what follows takes both.
+    ``byte_level`` and ``pieces`` are the contents of the two vocabulary files.  The four are arrays of int.
+    With ``packed`` they are binary: four bytes an id, and in place of sizes a bit for each token, set where a group ends.
+    What follows takes both.
     """
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
     shared = docs.sparkSession.sparkContext.broadcast((byte_level, pieces))
@@ -250,7 +262,11 @@ def align(docs: DataFrame, byte_level: bytes, pieces: bytes, packed: bool = Fals
         for batch in batches:
             for chunk in chunks(batch.column("text"), CHUNK_BYTES, rows=CHUNK_ROWS):
                 sides, groups = align_chunk(chunk, one, two)
-                columns = [_lists(*x, packed) for x in (*sides, *groups)]
+                if packed:
+                    ids = [_binary(x.astype("<i4"), 4 * first) for x, first in sides]
+                    columns = [*ids, *(_marks(first, sizes) for (_, first), (sizes, _) in zip(sides, groups, strict=True))]
+                else:
+                    columns = [_lists(*x) for x in (*sides, *groups)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.lo, chunk.rows), *columns], ["doc_id", *_LISTS])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(x, kind) for x in _LISTS)]))
@@ -263,16 +279,24 @@ def _lengths(lists: pa.Array) -> np.ndarray:
     return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a column, and where those of each row begin."""
-    lists = batch.column(name)
-    first = np.append(0, np.cumsum(_lengths(lists)))
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of an array column, or bytes of a binary one, and where those of each row begin."""
     if not pa.types.is_binary(lists.type):
-        return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), first
+        return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(_lengths(lists)))
     _, places, data = lists.buffers()
-    begin = int(np.frombuffer(places, dtype="<i4")[lists.offset]) if len(lists) else 0
-    numbers = np.frombuffer(data, dtype="<i4", offset=begin, count=int(first[-1])) if first[-1] else np.zeros(0, dtype="<i4")
-    return numbers.astype(np.int64), first
+    first = np.frombuffer(places, dtype="<i4", offset=4 * lists.offset, count=len(lists) + 1).astype(np.int64)
+    size = int(first[-1] - first[0])
+    return np.frombuffer(data, dtype=np.uint8, offset=int(first[0]), count=size) if size else np.zeros(0, dtype=np.uint8), first - first[0]
+
+
+def _side(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of one side and the first of each row, tokens of each group and the first group of each row."""
+    (ids, first), (groups, group_first) = (_flat(batch.column(x)) for x in (name, f"{name}_sizes"))
+    if not pa.types.is_binary(batch.column(name).type):
+        return ids, first, groups, group_first
+    first = first // 4
+    ends = np.flatnonzero(np.unpackbits(groups)[_ranges(8 * group_first[:-1], np.diff(first))])
+    return ids.view("<i4").astype(np.int64), first, np.diff(ends, prepend=-1), np.searchsorted(ends, first)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -288,7 +312,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _link_names(batch: pa.RecordBatch) -> np.ndarray:
     """A id and B id of the link at the end of every group, in one number."""
-    (a, _), (b, _), (a_sizes, _), (b_sizes, _) = (_flat(batch, x) for x in _LISTS)
+    (a, _, a_sizes, _), (b, _, b_sizes, _) = (_side(batch, x) for x in "ab")
     return (a[np.cumsum(a_sizes) - 1] << 32) | b[np.cumsum(b_sizes) - 1]
 
 
@@ -310,7 +334,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
                 ["a", "b", "links"],
             )
 
-    counted = aligned.select(*_LISTS).mapInArrow(run, "a int, b int, links long")
+    counted = aligned.drop("doc_id").mapInArrow(run, "a int, b int, links long")
     return counted.groupBy("a", "b").agg(F.sum("links").alias("links"))
 
 
@@ -324,7 +348,7 @@ def _decimals(count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _group_texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Groups of every row as ``a1,a2|b1;a3|b2``: bytes with a separator behind each row, and where rows begin."""
-    (a, a_first), (b, b_first), (a_sizes, _), (b_sizes, _) = (_flat(batch, x) for x in _LISTS)
+    (a, a_first, a_sizes, _), (b, b_first, b_sizes, _) = (_side(batch, x) for x in "ab")
     a_end, b_end = np.cumsum(a_sizes), np.cumsum(b_sizes)
     # A token stands behind all earlier ones of its side, and behind those of the other side that come first.
     ids = np.empty(len(a) + len(b), dtype=np.int64)
@@ -357,10 +381,10 @@ def describe(aligned: DataFrame, counts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in _slices(batch):
                 at = np.searchsorted(names, _link_names(part))
-                _, first = _flat(part, "a_sizes")
+                first = _side(part, "a")[3]
                 groups = np.diff(first)
                 sums = [np.diff(np.append(0, np.cumsum(x[at]))[first]) for x in (best.astype(np.int64), links)]
-                tokens = [np.diff(_flat(part, x)[1]) for x in ("a", "b")]
+                tokens = [_lengths(part.column(x)) for x in "ab"]
                 shown, begins = _group_texts(part)
                 data = memoryview(np.ascontiguousarray(shown))
                 digests = [
@@ -373,4 +397,4 @@ def describe(aligned: DataFrame, counts: DataFrame) -> DataFrame:
                 )
 
     schema = [aligned.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in numbers), T.StructField("groups_sha256", T.StringType())]
-    return aligned.select("doc_id", *_LISTS).mapInArrow(run, T.StructType(schema))
+    return aligned.mapInArrow(run, T.StructType(schema))
