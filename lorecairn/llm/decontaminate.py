@@ -20,16 +20,18 @@
    frequent, are found wherever their words stand in a row; only for a changed copy of
    such an item is a cosine of ``COSINE`` a condition too.
 
-Words are lower-case runs of letters and digits.  Null or empty texts and items
+Words are lower-case runs of letters, digits and the marks on them, in any script; quotes and dashes end them.  Null or empty texts and items
 without words match nothing; each of several equal rows gets the same answer.
 An empty benchmark or table gives no leaks.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +57,28 @@ _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 LEAKS = "array<struct<item_id:long,cosine:double,lcs_words:int,item_words:int>>"
 
 
+@cache
+def _in_words() -> np.ndarray:
+    """Which code points stand in words: letters, digits and the marks on them."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LNM" for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
 def terms(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a chunk and the first word of each document."""
-    data = np.where((chunk.data >= 65) & (chunk.data <= 90), chunk.data + np.uint8(32), chunk.data)
-    start, end = _runs(_INSIDE[data], chunk.offsets)
+    """Hashes of the words of a chunk of lower-case texts and the first word of each document."""
+    data = chunk.data
+    inside = _INSIDE[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        more = 1 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        point = data[lead].astype(np.int64) & (0x3F >> more)
+        for k in (1, 2, 3):
+            longer = more >= k
+            point[longer] = point[longer] << 6 | (data[lead[longer] + k] & 0x3F)
+        other = ~_in_words()[point]
+        lead, more = lead[other], more[other]
+        for k in range(4):
+            inside[lead[more >= k] + k] = False
+    start, end = _runs(inside, chunk.offsets)
     return range_hash(prefix_sums(data), start, end), np.searchsorted(start, chunk.offsets)
 
 
@@ -73,7 +93,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         total = np.zeros(FEATURES + 1, dtype=np.int64)
         for batch in batches:
             total[FEATURES] += batch.num_rows
-            for chunk in chunks(batch.column("text"), BLOCK_BYTES):
+            for chunk in chunks(batch.column("text"), BLOCK_BYTES, lower=True):
                 hashes, first = terms(chunk)
                 seen = np.zeros((chunk.rows, FEATURES), dtype=bool)
                 seen[np.repeat(np.arange(chunk.rows), np.diff(first)), _feature(hashes)] = True
@@ -141,7 +161,7 @@ def item_features(items: DataFrame, idf: np.ndarray) -> Features:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), lower=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(_feature(terms(chunk)[0])))], ["feature"])
 
     used = sorted(r["feature"] for r in items.select("text").mapInArrow(run, "feature long").distinct().collect())
@@ -175,7 +195,7 @@ def latent_space(items: DataFrame, features: Features, seed: int = 3) -> np.ndar
             space, features = shared.value
             out = np.zeros((space.shape[1],) * 2 if gram else space.shape)
             for batch in batches:
-                for chunk in chunks(batch.column("text"), BLOCK_BYTES):
+                for chunk in chunks(batch.column("text"), BLOCK_BYTES, lower=True):
                     hashes, first = terms(chunk)
                     first = first[np.append(True, np.diff(first) > 0)]
                     if not len(hashes):
@@ -294,7 +314,7 @@ def _buckets(found: list[np.ndarray], window: int, words: np.ndarray, idf: np.nd
 
 def prepare(rows: list[tuple[int, str]], space: np.ndarray, features: Features) -> Prepared:
     groups: dict[tuple[int, bool], list[tuple[int, np.ndarray, np.ndarray]]] = defaultdict(list)
-    for chunk in chunks(pa.array([text for _, text in rows], pa.string())):
+    for chunk in chunks(pa.array([text for _, text in rows], pa.string()), lower=True):
         hashes, first = terms(chunk)
         for row in range(chunk.rows):
             own = hashes[first[row] : first[row + 1]]
@@ -427,7 +447,7 @@ def _search(shared, kept: list[str]):
         space, features, items = shared.value
         for batch in batches:
             found = batch.column("leaks").to_pylist()
-            for chunk in chunks(batch.column("text"), BLOCK_BYTES):
+            for chunk in chunks(batch.column("text"), BLOCK_BYTES, lower=True):
                 for doc, leaks in find(*terms(chunk), space, features, items).items():
                     new = [
                         {"item_id": item, "cosine": cosine, "lcs_words": common, "item_words": size}

@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .components import bit_place, components, maybe, member_bits
 from .postings import BLOCK_ENTRIES, bucket_of, pack, packed_schema, runs, spread, unpack
+from .tables import WORD
 from .textarrays import Chunk, chunks, mix, ngram_hash, words
 
 BITMAP_BITS = 2048
@@ -476,14 +477,15 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of linked documents - that of the smallest id - columns unchanged.
 
-    Rows without words or without an id stay.  Only rows that may have to go, by a
+    Rows without words or without an id stay.  Of several rows of an id that stays the one with the
+    smallest text does.  Only rows that may have to go, by a
     filter of bounded size, are shuffled.
     """
     found = joined(docs, n, percent)
     # Copies of a row share the smallest id of their group as well; one of them stays.
     repeated = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct().withColumn("whole", F.lit(True))
-    gone = cut_lineage(gone.unionByName(repeated.withColumn("whole", F.lit(False))))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct().withColumn("__whole", F.lit(True))
+    gone = cut_lineage(gone.unionByName(repeated.withColumn("__whole", F.lit(False))))
     table = docs.sparkSession.sparkContext.broadcast(member_bits(gone, "doc_id"))
     columns = docs.columns
 
@@ -500,6 +502,9 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     placed = docs.withColumn("__place", F.when(F.col("doc_id").isNotNull(), bit_place(F.col("doc_id").cast("long"))))
     clear = placed.mapInArrow(picked(False), docs.schema)
-    asked = placed.mapInArrow(picked(True), docs.schema).join(gone, "doc_id", "left").where("whole is null or not whole")
-    once = asked.where("not whole").select(*columns).dropDuplicates(["doc_id"])
-    return clear.unionByName(asked.where("whole is null").select(*columns)).unionByName(once.select(*columns))
+    asked = placed.mapInArrow(picked(True), docs.schema).join(gone, "doc_id", "left")
+    stays = F.col("__whole").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    # A partial minimum on both sides of the shuffle, so that an id of many rows is no hot group.
+    row = F.struct(*columns)
+    once = asked.where(~stays & ~F.col("__whole")).groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("__row"))
+    return clear.unionByName(asked.where(stays).select(*columns)).unionByName(once.select("__row.*"))

@@ -291,3 +291,37 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert decontaminate.common_length(decontaminate._bits(a), b, len(a)) == table[-1][-1]
+
+
+def test_leaks_in_other_type_and_case_are_found(spark):
+    """Typographic quotes and dashes end words, and letters outside ASCII have two cases."""
+    item = 'warum "schnelle" füchse - und träge hunde - über den großen zaun springen, weiß der alte müller nicht genau'
+    typographic = "warum “schnelle” füchse—und träge hunde—über den großen zaun springen, weiß der alte müller nicht genau"
+    short = 'der "ölige" igel - ja'
+    table = spark.createDataFrame(
+        [(1, "x y z " + typographic), (2, item.upper().replace("SS", "ß")), (3, "vorher DER „ÖLIGE“ IGEL—JA nachher"), (4, "ganz anderes über träge dinge")],
+        "doc_id long, text string",
+    )
+    bench = spark.createDataFrame([(7, item), (8, short)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, bench).collect()} == {(1, 7), (2, 7), (3, 8)}
+
+
+def test_words_end_where_no_letter_stands():
+    import pyarrow as pa
+
+    text = "“quick” fox—jumps é e\u0301x 漢字 १२ 😀 a"
+    (chunk,) = textarrays.chunks(pa.array([text]))
+    hashes, _ = decontaminate.terms(chunk)
+    (plain,) = textarrays.chunks(pa.array(["quick fox jumps é e\u0301x 漢字 १२ a"]))
+    assert hashes.tolist() == decontaminate.terms(plain)[0].tolist()
+    assert len(hashes) == 8
+
+
+def test_one_of_each_with_repeated_ids_and_clashing_names(spark):
+    """Rows without words stay; of an id's other rows that with the smallest text does."""
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, two, "w1"), (1, one, "w2"), (1, " ", "w3"), (1, None, "w4"), (2, one, "w5"), (2, "", "w6"), (3, "u v w x y z", "w7")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, whole string")
+    kept = ngram_join.one_of_each(table, 5, 80)
+    assert kept.columns == table.columns
+    assert sorted(r["whole"] for r in kept.collect()) == ["w2", "w3", "w4", "w6", "w7"]
