@@ -13,6 +13,9 @@ DIMENSION = 384
 MODEL_NAME = "all-MiniLM-L6-v2"
 # ---------------------------------------------------------------------------
 
+#: Characters and texts counted at a time, which bounds the memory of a batch.
+CHARS, TEXTS = 1 << 18, 512
+
 #: Turns a list of texts into one unit-length vector per text.
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -31,20 +34,44 @@ def character_vector(text: str | None, dimension: int = DIMENSION) -> np.ndarray
     return (cells / np.linalg.norm(cells)).astype(np.float32)
 
 
+def _runs(length: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive texts of at most ``CHARS`` characters and ``TEXTS`` rows together; a longer text is a run of its own."""
+    ends = np.cumsum(length)
+    start = 0
+    while start < len(length):
+        within = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHARS, side="right"))
+        stop = min(max(within, start + 1), start + TEXTS)
+        yield start, stop
+        start = stop
+
+
+def _count_cells(texts: list[str], dimension: int) -> np.ndarray:
+    """Weighted counts per text, added up in the order of the characters, however long the texts are."""
+    ends = np.cumsum([len(t) for t in texts])
+    joined = "".join(texts)
+    carried = np.zeros(len(texts) * dimension)
+    for at in range(0, len(joined), CHARS):
+        codes = np.frombuffer(joined[at : at + CHARS].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        place = np.arange(at, at + len(codes))
+        row = np.searchsorted(ends, place, side="right")
+        place -= np.where(row > 0, ends[row - 1], 0)
+        cells, weights = row * dimension + codes % dimension, 1.0 / (place + 1)
+        if at:
+            # What is counted so far comes first, so that the sums are those of one pass.
+            cells, weights = np.concatenate([np.arange(len(carried)), cells]), np.concatenate([carried, weights])
+        carried = np.bincount(cells, weights=weights, minlength=len(carried))
+    return carried.reshape(len(texts), dimension)
+
+
 def character_vectors(texts: pd.Series, dimension: int = DIMENSION) -> list[np.ndarray]:
-    """:func:`character_vector` of a batch of texts, counted in one pass."""
-    texts = texts.fillna("")
-    if not len(texts):
-        return []
-    length = texts.str.len().to_numpy(dtype=np.int64)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    row = np.repeat(np.arange(len(texts)), length)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
-    cells = np.bincount(row * dimension + codes % dimension, weights=1.0 / (place + 1), minlength=len(texts) * dimension)
-    # Counting nothing gives integers, whatever the weights.
-    cells = cells.astype(np.float64).reshape(len(texts), dimension)
-    size = np.sqrt((cells**2).sum(axis=1, keepdims=True))
-    return list(np.divide(cells, size, out=np.zeros_like(cells), where=size > 0).astype(np.float32))
+    """:func:`character_vector` of a batch of texts; the arrays beside the texts have a fixed size."""
+    plain = texts.fillna("").tolist()
+    vectors: list[np.ndarray] = []
+    for start, stop in _runs(np.array([len(t) for t in plain], dtype=np.int64)):
+        cells = _count_cells(plain[start:stop], dimension)
+        size = np.sqrt((cells**2).sum(axis=1, keepdims=True))
+        vectors.extend(np.divide(cells, size, out=np.zeros_like(cells), where=size > 0).astype(np.float32))
+    return vectors
 
 
 def hash_embedding(text: Column | str, dimension: int = DIMENSION) -> Column:

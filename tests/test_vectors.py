@@ -1,6 +1,9 @@
 """Embeddings and nearest neighbours against numpy."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +38,19 @@ def test_batches_without_any_text(spark):
     assert got == [[0.0] * 8] * 2
 
 
+def test_a_batch_of_vectors_needs_little_memory_beside_its_texts():
+    texts = pd.Series(["añ🙂 b" * 400] * 1500 + ["long 🙂" * 150_000, "", None, "z"], dtype=object)
+    tracemalloc.start()
+    got = vectors.character_vectors(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Counted in one pass, 4 million characters took over 200 MB.
+    assert peak < 60e6
+    for place in (0, 1499, 1500, 1501, 1503):
+        np.testing.assert_allclose(got[place], reference_vector(texts[place]), atol=1e-6)
+    assert not got[1502].any()
+
+
 def test_model_embedding_uses_the_encoder_and_falls_back(spark):
     rows = spark.createDataFrame([("ab",), ("bad",)], "t string").coalesce(1)
 
