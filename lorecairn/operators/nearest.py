@@ -35,19 +35,21 @@ INLINE_CELLS = 4_000_000
 DOCUMENT_BLOCK = 50_000
 #: Requests multiplied at a time, which bounds the score matrix in memory.
 STRIPE = 256
+#: Scores, and values of vectors compared exactly, that a task holds at a time.
+VALUES = 1 << 20
 #: Relative error that a matrix product is trusted to stay below.
 SLACK = 1e-12
 
 
-def _bounds(documents: np.ndarray, requests: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+def _bounds(documents: np.ndarray, squares: np.ndarray, requests: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of every score from one matrix product; its rounding depends on where a row stands."""
     products = documents @ requests.T
     if metric == "cosine":
-        lengths = np.linalg.norm(documents, axis=1)[:, None] * np.linalg.norm(requests, axis=1)
+        lengths = np.sqrt(squares)[:, None] * np.linalg.norm(requests, axis=1)
         values = np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
         return values - SLACK, values + SLACK
-    squares = (documents**2).sum(axis=1)[:, None] + (requests**2).sum(axis=1)
-    distance, error = squares - 2.0 * products, SLACK * squares
+    both = squares[:, None] + (requests**2).sum(axis=1)
+    distance, error = both - 2.0 * products, SLACK * both
     return 1.0 - np.sqrt(np.maximum(distance, 0.0) + error), 1.0 - np.sqrt(np.maximum(distance - error, 0.0))
 
 
@@ -76,14 +78,20 @@ def best_of_batch(
 ) -> pd.DataFrame:
     """The k best rows per request within one batch of documents."""
     parts = []
-    for start in range(0, len(ids), STRIPE):
-        stop = start + STRIPE
-        low, high = _bounds(documents, requests[start:stop], metric)
+    squares = np.einsum("ij,ij->i", documents, documents)
+    stripe = max(1, min(STRIPE, VALUES // max(1, len(keys))))
+    for start in range(0, len(ids), stripe):
+        stop = start + stripe
+        low, high = _bounds(documents, squares, requests[start:stop], metric)
         # Whatever may reach the k-th score stays until exact scores, and then keys, decide.
         kth = min(max(len(keys) - k, 0), len(keys) - 1)
         bar = np.maximum(np.partition(low, kth, axis=0)[kth], floors[start:stop])
         rows, columns = np.nonzero(high >= bar)
-        scores = _exact(documents[rows], requests[start:stop][columns], metric)
+        # Copies all reach the k-th score, so there may be as many pairs as scores.
+        scores, pairs = np.empty(len(rows)), max(1, VALUES // max(1, documents.shape[1]))
+        for at in range(0, len(rows), pairs):
+            some = slice(at, at + pairs)
+            scores[some] = _exact(documents[rows[some]], requests[start:stop][columns[some]], metric)
         passing = scores >= floors[start:stop][columns]
         rows, columns, scores = rows[passing], columns[passing], scores[passing]
         parts.append(

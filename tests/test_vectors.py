@@ -153,6 +153,22 @@ def test_copies_tie_by_key_in_both_ways(spark):
         assert shown(got) == expected
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_many_copies_in_a_block_need_little_memory(metric):
+    rng = np.random.default_rng(3)
+    documents, requests = rng.normal(size=(20_000, 64)), rng.normal(size=(256, 64))
+    documents[:5000], requests[0] = documents[0], documents[0]
+    keys = np.array([f"{i:05d}" for i in range(len(documents))], dtype=object)
+    tracemalloc.start()
+    got = nearest.best_of_batch(keys, documents, np.arange(256), requests, np.full(256, -np.inf), 3, metric)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A matrix of all scores takes 41 MB, and four of them were held.
+    assert peak < 100e6
+    assert got[got["query_id"] == 0]["key"].tolist() == ["00000", "00001", "00002"]
+    assert len(got) == 256 * 3
+
+
 def test_semantic_search_clamps(spark, docs):
     embedded = nearest.embed_documents(docs)
     asked = spark.createDataFrame(
