@@ -3,7 +3,7 @@
 A folder holds two tables.
 
 * ``postings`` (bucket, word, key): one row per word and document, in one folder per
-  bucket of words, sorted by word and key.  A bucket of hot words is split over several files, so
+  bucket of words, sorted by word and key.  A bucket is split over several files by the key, so
   no task holds a word; row groups of other words are skipped when a word is read.
 * ``words`` (word, documents, bucket): document frequencies, sorted by word over all files, so
   that a prefix reads a small part of it.
@@ -24,6 +24,10 @@ from .search import fold_clauses, text_requests
 
 #: Buckets of words.  More buckets make reads narrower and files smaller.
 BUCKETS = 64
+#: Classes of buckets that are dealt together, and characters of text whose words a task sorts.
+CLASSES, PART_CHARS = 8, 16_000_000
+#: Up to this many asked words travel with the scan of the postings.
+SENT_WORDS = 100_000
 _WORDS = "word string, documents long, bucket int"
 
 
@@ -39,16 +43,54 @@ def write_index(docs: DataFrame, path: str, column: str = "content", buckets: in
     if buckets < 1:
         raise ValueError("an index needs a bucket")
     spark = docs.sparkSession
-    found = docs.where(F.col(column).isNotNull()).select("key", F.explode(F.array_distinct(text.tokens(F.col(column)))).alias("word"))
-    postings = found.distinct().withColumn("bucket", bucket_of(F.col("word"), buckets))
-    # Adaptive execution splits the partitions of hot buckets and joins those of small ones.
-    dealt = postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word", "key")
+    dealt = _dealt(docs.where(F.col(column).isNotNull()).select("key", F.col(column).alias("text")), buckets)
     dealt.write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
     written = spark.read.schema(_postings_schema(docs)).parquet(f"{path}/postings")
     counted = written.groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.first("bucket").alias("bucket"))
     counted.repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{path}/words")
 
 
+def _dealt(texts: DataFrame, buckets: int) -> DataFrame:
+    """``(word, key, bucket)`` of each word and document once, in sorted partitions that hold a few buckets each.
+
+    A document sends its words as one row per class of buckets, which is far smaller than a row per word.
+    """
+    worded = texts.select("key", F.array_distinct(text.tokens(F.col("text"))).alias("words"))
+    size = texts.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
+    classes = min(CLASSES, buckets)
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    parts = -(-max(cores, -(-size // PART_CHARS)) // classes)
+    part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+
+    # Rows of one key are one document; only the words of keys that repeat are made distinct by a shuffle.
+    repeated = cut_lineage(texts.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("key").alias("repeated")))
+    together = None
+    if bounded_rows(repeated, 0) is None:
+        same = F.col("key").eqNullSafe(F.col("repeated"))
+        single = worded.join(repeated, same, "left_semi").select("key", F.explode("words").alias("word")).distinct()
+        worded = worded.join(repeated, same, "left_anti")
+        together = single.select("key", F.pmod(bucket_of(F.col("word"), buckets), F.lit(classes)).alias("class"), "word")
+    numbered = F.transform("words", lambda w: F.struct(w.alias("word"), F.pmod(bucket_of(w, buckets), F.lit(classes)).alias("class")))
+    # The one-element outer array numbers the words once per row.
+    by_class = F.transform(
+        F.array(numbered),
+        lambda found: F.transform(
+            F.sequence(F.lit(0), F.lit(classes - 1)),
+            lambda c: F.struct(
+                c.alias("class"),
+                F.array_join(F.transform(F.filter(found, lambda w: w["class"] == c), lambda w: w["word"]), " ").alias("word"),
+            ),
+        ),
+    )[0]
+    packed = worded.select("key", F.explode(by_class).alias("some")).select("key", "some.class", "some.word").where("word <> ''")
+    if together is not None:
+        packed = packed.unionByName(together)
+    sent = packed.repartitionById(classes * parts, F.col("class") * parts + part)
+    # Tokens hold letters and digits only, so a space parts them.
+    words = sent.select(F.explode(F.split("word", " ")).alias("word"), "key")
+    return words.withColumn("bucket", bucket_of(F.col("word"), buckets)).sortWithinPartitions("bucket", "word", "key")
+
+
 def _postings_schema(docs: DataFrame) -> str:
     return f"word string, key {docs.schema['key'].dataType.simpleString()}, bucket int"
 
@@ -84,6 +126,14 @@ class TextIndex:
         buckets = [r["bucket"] for r in lookups.select("bucket").distinct().collect()]
         return self.postings.where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
 
+    @staticmethod
+    def _of_words(postings: DataFrame, lookups: DataFrame) -> DataFrame:
+        """The postings of the words of ``lookups`` alone, unless those are too many to travel with the scan."""
+        words = lookups.select("word").distinct()
+        if words.limit(SENT_WORDS + 1).count() > SENT_WORDS:
+            return postings
+        return postings.join(F.broadcast(words), "word", "left_semi")
+
     def matches(self, requests: DataFrame) -> DataFrame:
         """All ``(query_id, key, max_results)`` whose words satisfy the request, as :func:`search.fulltext_matches` gives."""
         prepared = cut_lineage(text_requests(requests))
@@ -92,7 +142,7 @@ class TextIndex:
             "query_id", "i", "last_or", "clause.*"
         )
         lookups = cut_lineage(self.lookups(clauses))
-        postings = self.asked(lookups).select("word", "key")
+        postings = self._of_words(self.asked(lookups), lookups).select("word", "key")
 
         # Clauses behind the last "|" must all hold; the rarest of them finds the candidates.
         # A request that ends in "|" needs the words of all its clauses.

@@ -75,6 +75,32 @@ def test_words_count_documents(stored):
     assert stored.postings.count() == stored.postings.distinct().count()
 
 
+def test_repeated_and_null_keys_are_one_document_each(spark, tmp_path):
+    rows = [("a", "red ink red"), ("b", "blue ink"), ("a", "ink two"), (None, "red one"), (None, "one"), ("c", None), ("d", " ,")]
+    docs = spark.createDataFrame(rows, "key string, content string").repartition(4)
+    text_index.write_index(docs, str(tmp_path / "index"), buckets=3)
+    index = text_index.TextIndex(spark, str(tmp_path / "index"))
+    want = [("blue", "b"), ("ink", "a"), ("ink", "b"), ("one", None), ("red", "a"), ("red", None), ("two", "a")]
+    assert sorted([(r.word, r.key) for r in index.postings.collect()], key=str) == sorted(want, key=str)
+    assert {r.word: r.documents for r in index.words.collect()} == {"blue": 1, "ink": 2, "one": 1, "red": 2, "two": 1}
+
+
+def test_a_document_sends_its_words_in_few_rows(spark):
+    docs = spark.createDataFrame([(str(i), " ".join(f"w{j}" for j in range(i, i + 100))) for i in range(50)], "key string, text string")
+    dealt = text_index._dealt(docs, 64)
+    assert dealt.count() == 5000
+    # One exchange of packed rows by their place; every row of a word was sent twice before.
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionBy") + plan.count("Rebalance") == 1 and "Aggregate" not in plan
+
+
+def test_postings_of_other_words_are_left_out(spark, stored, monkeypatch):
+    lookups = spark.createDataFrame([("fast",)], "word string")
+    assert {r.word for r in stored._of_words(stored.postings, lookups).collect()} == {"fast"}
+    monkeypatch.setattr(text_index, "SENT_WORDS", 0)
+    assert stored._of_words(stored.postings, lookups).count() == stored.postings.count()
+
+
 def test_empty_table(spark, docs, tmp_path):
     text_index.write_index(docs.limit(0), str(tmp_path / "none"))
     index = text_index.TextIndex(spark, str(tmp_path / "none"))
