@@ -2,6 +2,10 @@
 
 Two sets link when ``100 * |intersection| >= percent * |union|``.
 
+*Support.*  Two linked sets share so many of their smallest hashes (see :func:`prefix`)
+that a set can only link when that many of its own are in other sets too.  The rest,
+most of a corpus, goes no further.
+
 *Tiles.*  Sizes are cut into bands so that sets that link are in one band or in
 neighbouring ones.  For each band the 64-bit hashes are cut into more ranges than
 two linked sets can differ in, so they agree in one range at least.  The contents of a
@@ -13,9 +17,9 @@ filter), so no link is lost.
 *Stars.*  Each member of a tile is a pair with the tile's smallest id.  The pair with
 most common tiles is compared first, one for every member.
 
-*Rest.*  Tiles with common members make a cluster, which no link leaves.  A cluster
-that still holds several components is compared block by block: bit tables of
-2,048 bits bound each intersection from above by counting bits, and what passes is
+*Rest.*  Tiles with common members make a cluster, which no link leaves.  A shared
+passage may chain sets of all sizes, so a cluster that still holds several components
+is compared within bands of sizes, block by block: bit tables of 2,048 bits bound each intersection from above by counting bits, and what passes is
 intersected as sorted arrays.  Pairs of one component are skipped, also of those
 that have just met, so a task sends at most one link per member.
 
@@ -35,7 +39,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +54,9 @@ BITMAP_BITS = 2048
 TILE_ROWS = 2048
 _ENTRY = {"key": np.dtype("<u8"), "doc": np.dtype("<i8"), "behind": np.dtype("<i8")}
 _STAR = "leader long, member long, tiles long"
+_SHARE = {"key": np.dtype("<u8"), "owner": np.dtype("<u8"), "times": np.dtype("<u4")}
+#: In place of a set: several sets of a block.
+_SEVERAL = np.uint64(0)
 
 
 def shingles(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +179,100 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
+def prefix(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its smallest hashes a set shows, and how many of them every set it links with shows as well.
+
+    Linked sets of sizes a and b have ``o >= ceil(percent * max(a, b) / 100)`` hashes in common.  The k-th
+    smallest of those is among the first ``a - o + k`` of one set and the first ``b - o + k`` of the other.
+    """
+
+    def least(x: np.ndarray) -> np.ndarray:
+        return -(-percent * x // 100)
+
+    def spare(x: np.ndarray) -> np.ndarray:
+        return x - least(x) + 1
+
+    # The other set has least(size) hashes or more, and spare() never falls with the size.
+    return np.minimum(size, 2 * spare(size) - 1), np.minimum(spare(least(size)), least(size))
+
+
+def _needed(size: str, percent: int) -> Column:
+    """The second number of :func:`prefix`, for a column."""
+    least = F.expr(f"({percent} * {size} + 99) div 100")
+    again = F.expr(f"({percent} * (({percent} * {size} + 99) div 100) + 99) div 100")
+    return F.least(least - again + 1, least)
+
+
+def supported(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """one, shared: how many hashes of the prefix of each set (by the first half of its digest) other sets show.
+
+    Sets without any are left out.  Copies in several blocks may count a hash more than once, never less.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        entries, seen = 0, set()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, owner = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+            order = np.argsort(key)
+            key, owner = key[order], owner[order]
+            head, run = runs(key)
+            several = np.diff(np.append(head, len(key))) > 1
+            # Sets that share a hash within the block know it; other blocks hear of them once.
+            name, times = np.unique(owner[several[run]], return_counts=True)
+            told = np.where(several, _SEVERAL, owner[head])
+            bucket = np.concatenate([bucket_of(mix(key[head])), bucket_of(mix(name))])
+            columns = {
+                "key": np.concatenate([key[head], np.zeros(len(name), dtype=np.uint64)]),
+                "owner": np.concatenate([told, name]),
+                "times": np.concatenate([np.zeros(len(head), dtype=np.uint32), times.astype(np.uint32)]),
+            }
+            yield from pack(bucket, columns)
+
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                hashes, first = shingles(chunk, n)
+                one, _ = _digest(hashes, first)
+                size = np.diff(first)
+                fresh = np.array([not (x in seen or seen.add(x)) for x in one.tolist()], dtype=bool)
+                shown = np.where(fresh, prefix(size, percent)[0], 0)
+                row = np.repeat(np.arange(chunk.rows), shown)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(shown) - shown, shown) + first[row]
+                parts.append((hashes[at], one[row]))
+                entries += len(at)
+                if entries >= BLOCK_ENTRIES:
+                    yield from flush()
+                    parts, entries = [], 0
+                    seen.clear()
+        if entries:
+            yield from flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = unpack(batches, _SHARE)
+        told = own["times"] > 0
+        key, owner = own["key"][~told], own["owner"][~told]
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, owner = key[new], owner[new]
+        head, run = runs(key)
+        several = np.diff(np.append(head, len(key))) > 1
+        here = owner[several[run] & (owner != _SEVERAL)] if len(key) else owner
+        name, at = np.unique(np.concatenate([here, own["owner"][told]]), return_inverse=True)
+        weight = np.concatenate([np.ones(len(here), dtype=np.int64), own["times"][told].astype(np.int64)])
+        shared = np.zeros(len(name), dtype=np.int64)
+        np.add.at(shared, at, weight)
+        for lo in range(0, len(name), 1 << 16):
+            here = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(name[here].view(np.int64)), pa.array(shared[here])], ["one", "shared"])
+
+    known = docs.where("doc_id is not null and text is not null").select("text")
+    met = spread(known.mapInArrow(send, packed_schema(_SHARE))).mapInArrow(meet, "one long, shared long")
+    return met.groupBy("one").agg(F.sum("shared").alias("shared"))
+
+
 def measured(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles and the 128-bit digest of the set of every document."""
 
@@ -203,11 +304,22 @@ def _pair_counts(leader: np.ndarray, member: np.ndarray, tiles: np.ndarray) -> t
     return leader[head], member[head], np.add.reduceat(tiles, head) if len(head) else tiles
 
 
-def stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id as long, text and the place of the id in a table of :func:`member_bits`."""
+    known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return known.withColumn("place", bit_place("doc_id"))
+
+
+def _asked(batch: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
+    return batch.take(pa.array(np.flatnonzero(maybe(table, batch.column("place").to_numpy()))))
+
+
+def stars(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
     """leader, member, tiles: every tile of several documents as a star around a small id.
 
-    ``tiles`` counts those of the pair in one place; a pair may come from several places.
+    Of the documents in ``wanted`` (node), and a few more.  ``tiles`` counts those of the pair in one place; a pair may come from several places.
     """
+    table = docs.sparkSession.sparkContext.broadcast(member_bits(wanted, "node"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -231,6 +343,7 @@ def stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield from pack(bucket, {"key": names, "doc": np.concatenate([doc[head], settled]), "behind": behind})
 
         for batch in batches:
+            batch = _asked(batch, table.value)
             ids = batch.column("doc_id").to_numpy()
             for chunk in chunks(batch.column("text")):
                 hashes, first = shingles(chunk, n)
@@ -271,8 +384,7 @@ def stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
         for lo in range(0, len(columns[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in columns], ["leader", "member", "tiles"])
 
-    known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return spread(known.mapInArrow(send, packed_schema(_ENTRY))).mapInArrow(meet, _STAR)
+    return spread(_placed(docs).mapInArrow(send, packed_schema(_ENTRY))).mapInArrow(meet, _STAR)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -285,8 +397,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            asked = np.flatnonzero(maybe(table.value, batch.column("place").to_numpy()))
-            batch = batch.take(pa.array(asked))
+            batch = _asked(batch, table.value)
             ids = batch.column("doc_id")
             for chunk in chunks(batch.column("text")):
                 hashes, first = shingles(chunk, n)
@@ -300,10 +411,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     ["doc", "hashes", "bits"],
                 )
 
-    known = docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", bit_place(F.col("doc_id").cast("long")).alias("place")
-    )
-    return known.mapInArrow(run, "doc long, hashes binary, bits binary").where("octet_length(hashes) > 0")
+    return _placed(docs).mapInArrow(run, "doc long, hashes binary, bits binary").where("octet_length(hashes) > 0")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -333,23 +441,49 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").mapInArrow(exact, "a long, b long").distinct()
 
 
+def banded(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (cluster, node, component, size) with band: its own and, as the larger one, the band below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = bands(percent)[0]
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            own = np.searchsorted(edges, size, side="right") - 1
+            below = np.flatnonzero((own > 0) & (percent * size <= 100 * (edges[own] - 1)))
+            for row, band in ((np.arange(len(own)), own), (below, own[below] - 1)):
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(band)], [*columns, "band"])
+
+    columns = ["cluster", "node", "component", "size"]
+    return members.select(*columns).mapInArrow(run, ", ".join(f"{x} long" for x in [*columns, "band"]))
+
+
 def _cluster_links(members: DataFrame, sets: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """Links (a, b) between components within clusters: enough to connect them, or every link.
 
-    ``members`` has cluster, node and component; clusters are cut into blocks of
-    bounded size, and every two blocks of a cluster meet in one task.
+    ``members`` has cluster, node and component.  Sets that link have a band in common, so
+    the members of a cluster in one band are cut into blocks of bounded size, and every two
+    blocks meet in one task.
     """
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = sets.withColumnRenamed("doc", "node").withColumn("size", (F.octet_length("hashes") / 8).cast("long"))
+    # An id of several sets has a row for each size.
+    groups = cut_lineage(banded(members.join(sets.select("node", "size").distinct(), "node"), percent))
+    group = ["cluster", "band"]
+    sizes = groups.groupBy(*group).agg(
+        F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    # Members of one component have nothing left to compare.
+    sizes = sizes.where("low <> high").select(*group, "blocks")
+    placed = groups.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each member goes to as many comparisons as there are blocks.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread_out = placed.withColumn("other", other).select(
-        F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
+        F.xxhash64(*group, F.least("block", "other"), F.greatest("block", "other")).alias("task"),
         (F.col("block") > F.col("other")).alias("right"),
         "node",
+        "size",
         "component",
     )
-    rows = spread_out.join(sets.withColumnRenamed("doc", "node"), "node").repartition("task").sortWithinPartitions("task")
+    rows = spread_out.join(sets, ["node", "size"]).repartition("task").sortWithinPartitions("task")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -410,8 +544,11 @@ def _paired(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> tuple[Dat
     # Rows of one id are one node: the id's smallest representative links them all.
     first = sets_known.groupBy(*same).agg(F.min("doc_id").cast("long").alias("rep"))
     nodes = cut_lineage(sets_known.join(first, same).select(F.col("doc_id").cast("long").alias("doc"), "rep"))
+    # Only sets that share enough with others go on, each by its representative.
+    alive = first.join(supported(docs, n, percent), "one").where(F.col("shared") >= _needed("n_shingles", percent))
+    alive = alive.select(F.col("rep").alias("node"))
     # Copies stand for their set: pairs are of different sets, and few documents' sets are needed.
-    pairs = stars(docs, n, percent).groupBy("leader", "member").agg(F.sum("tiles").alias("tiles"))
+    pairs = stars(docs, alive, n, percent).groupBy("leader", "member").agg(F.sum("tiles").alias("tiles"))
     for side, name in (("leader", "a"), ("member", "b")):
         pairs = pairs.join(nodes.select(F.col("doc").alias(side), F.col("rep").alias(name)), side)
     pairs = cut_lineage(pairs.where("a <> b").groupBy("a", "b").agg(F.sum("tiles").alias("tiles")))

@@ -110,6 +110,51 @@ def test_every_link_and_links_per_document(spark, monkeypatch):
     assert counts == {d: sum(a == d for a, _ in near) for d in sets if sets[d]}
 
 
+def test_linked_sets_share_enough_of_their_smallest_hashes(spark):
+    draw = np.random.default_rng(8)
+    for percent in (1, 50, 80, 90, 100):
+        for _ in range(200):
+            size = int(draw.integers(1, 80))
+            a = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64))
+            b = np.unique(np.append(a[draw.random(len(a)) < draw.random() ** 0.1], draw.integers(0, 1 << 63, int(draw.integers(0, 9)), dtype=np.uint64)))
+            if len(b) and ngram_join.links(len(np.intersect1d(a, b)), len(a), len(b), percent):
+                (shown_a, needed_a), (shown_b, needed_b) = (ngram_join.prefix(np.array([len(x)]), percent) for x in (a, b))
+                assert len(np.intersect1d(a[: shown_a[0]], b[: shown_b[0]])) >= max(needed_a[0], needed_b[0])
+        sizes = np.arange(1, 500)
+        column = spark.range(1, 500).orderBy("id").select(ngram_join._needed("id", percent)).collect()
+        assert [r[0] for r in column] == ngram_join.prefix(sizes, percent)[1].tolist()
+
+
+def test_a_shared_passage_takes_no_document_to_the_tiles(spark):
+    """Only the sets of documents that may link are gathered and compared; copies don't support each other."""
+    draw = random.Random(21)
+
+    def text(k):
+        return [f"w{draw.randrange(100000)}" for _ in range(k)]
+
+    passage = text(30)
+    made = [(i, " ".join(text(80) + passage)) for i in range(40)]
+    made += [(100 + i, made[i][1]) for i in range(5)]
+    near = text(100)
+    made += [(200, " ".join(near)), (201, " ".join([*near[:-1], "changed"]))]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    _, pairs, sets = ngram_join._paired(docs, ngram_join.measured(docs, 5), 5, 80)
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(200, 201)]
+    assert {r["doc"] for r in sets.collect()} == {200, 201}
+    assert Counter(map(tuple, ngram_join.joined(docs, 5, 80).collect())) == groups(made, 5, 80)
+
+
+def test_members_of_a_cluster_meet_within_bands(spark):
+    members = spark.range(1, 400).selectExpr("1L AS cluster", "id AS node", "id AS component", "id AS size")
+    for percent in (50, 80, 90, 100):
+        found = defaultdict(set)
+        for r in ngram_join.banded(members, percent).collect():
+            found[r["node"]].add(r["band"])
+        assert max(map(len, found.values())) <= 2
+        assert all(found[a] & found[b] for a in range(1, 400) for b in range(a, 400) if 100 * a >= percent * b)
+        assert not found[30] & found[399]
+
+
 def test_one_of_each_keeps_the_smallest_and_all_columns(awkward, rows):
     kept = ngram_join.one_of_each(awkward, 5, 80)
     assert kept.columns == awkward.columns
