@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+#: Narrow rows for one task of a table that many small steps read.
+PART_ROWS = 200_000
 #: Size of a membership filter; with more members it lets more rows through, never fewer.
 FILTER_BITS = 1 << 26
 
 
+def few_parts(rows: DataFrame) -> DataFrame:
+    """A stored table of narrow rows in no more partitions than it needs: every shuffle writes files for each of them."""
+    return rows.coalesce(parts_of(rows))
+
+
+def parts_of(rows: DataFrame) -> int:
+    return -(-rows.count() // PART_ROWS) or 1
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node that each node of ``edges`` (a, b) is linked with.
 
@@ -21,20 +32,23 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = cut_lineage(links)
+    # A step never has many more rows than there are edges.
+    parts = parts_of(links)
+    links = links.coalesce(parts)
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut_lineage(large.where("u <> v").distinct())
+        large = cut_lineage(large.where("u <> v").coalesce(parts).distinct().coalesce(parts))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        links = cut_lineage(small)
+        small = moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
+        links = cut_lineage(small.coalesce(parts).distinct().coalesce(parts))
         state = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+                links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().coalesce(parts)
             )
         before = state
 

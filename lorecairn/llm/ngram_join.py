@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .components import bit_place, components, maybe, member_bits
+from .components import bit_place, components, few_parts, maybe, member_bits
 from .postings import BLOCK_ENTRIES, bucket_of, pack, packed_schema, runs, spread, unpack
 from .tables import WORD
 from .textarrays import Chunk, chunks, mix, ngram_hash, words
@@ -543,7 +543,7 @@ def _paired(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> tuple[Dat
     same = ["n_shingles", "one", "two"]
     # Rows of one id are one node: the id's smallest representative links them all.
     first = sets_known.groupBy(*same).agg(F.min("doc_id").cast("long").alias("rep"))
-    nodes = cut_lineage(sets_known.join(first, same).select(F.col("doc_id").cast("long").alias("doc"), "rep"))
+    nodes = few_parts(cut_lineage(sets_known.join(first, same).select(F.col("doc_id").cast("long").alias("doc"), "rep")))
     # Only sets that share enough with others go on, each by its representative.
     alive = first.join(supported(docs, n, percent), "one").where(F.col("shared") >= _needed("n_shingles", percent))
     alive = alive.select(F.col("rep").alias("node"))
@@ -551,7 +551,7 @@ def _paired(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> tuple[Dat
     pairs = stars(docs, alive, n, percent).groupBy("leader", "member").agg(F.sum("tiles").alias("tiles"))
     for side, name in (("leader", "a"), ("member", "b")):
         pairs = pairs.join(nodes.select(F.col("doc").alias(side), F.col("rep").alias(name)), side)
-    pairs = cut_lineage(pairs.where("a <> b").groupBy("a", "b").agg(F.sum("tiles").alias("tiles")))
+    pairs = few_parts(cut_lineage(pairs.where("a <> b").groupBy("a", "b").agg(F.sum("tiles").alias("tiles"))))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     return nodes, pairs, cut_lineage(sets_of(docs, wanted, n))
 
@@ -594,7 +594,7 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     by_digest = nodes.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     # Each member first tries the leader with which it shares most tiles.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("tiles", -F.col("a"))).alias("a"))
-    edges = cut_lineage(verified(best, sets, percent).unionByName(by_digest))
+    edges = few_parts(cut_lineage(verified(best, sets, percent).unionByName(by_digest)))
     labels = components(edges)
 
     # Sets that share tiles, directly or by others, make a cluster; links never leave it.

@@ -172,6 +172,14 @@ def test_empty_tables(nothing, spark):
     assert decontaminate.leaks(nothing, bench).count() == 0
 
 
+def test_small_components_leave_few_partitions(spark):
+    """Every shuffle of a small table writes files for each partition it is read in."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long").repartition(40)
+    found = components.components(edges)
+    assert found.rdd.getNumPartitions() <= 2
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(61)}
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 160)] + [(300, 300), (202, 201), (201, 200)]
     found = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
