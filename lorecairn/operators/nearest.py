@@ -62,7 +62,7 @@ def _exact(documents: np.ndarray, requests: np.ndarray, metric: str) -> np.ndarr
     return np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0) + 0.0
 
 
-def _keep_best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+def keep_best(found: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = found.sort_values(["query_id", "score", "key"], ascending=[True, False, True])
     return ordered[ordered.groupby("query_id").cumcount() < k]
 
@@ -95,7 +95,7 @@ def best_of_batch(
         passing = scores >= floors[start:stop][columns]
         rows, columns, scores = rows[passing], columns[passing], scores[passing]
         parts.append(
-            _keep_best(
+            keep_best(
                 pd.DataFrame(
                     {
                         "query_id": ids[start:stop][columns],
@@ -109,6 +109,36 @@ def best_of_batch(
     return pd.concat(parts, ignore_index=True)
 
 
+def best_above(
+    keys: np.ndarray, documents: np.ndarray, requests: np.ndarray, floors: np.ndarray, k: int, metric: str
+) -> pd.DataFrame:
+    """Rows among which are the k best per request that reach its floor; ``query_id`` is the place of the request.
+
+    Where few reach their floor, a matrix product in single precision tells which are scored; else the best are sought.
+    """
+    squares = np.einsum("ij,ij->i", documents, documents)
+    near = cells.units(documents) if metric == "cosine" else documents
+    parts, stripe, pairs = [], max(1, min(STRIPE, VALUES // max(1, len(keys)))), max(1, VALUES // max(1, documents.shape[1]))
+    for start in range(0, len(requests), stripe):
+        some, floor = requests[start : start + stripe], floors[start : start + stripe]
+        if metric == "cosine":
+            bar = floor - cells.SINGLE * (documents.shape[1] + 8)
+            reached = near @ cells.units(some).T >= np.maximum(bar, -2.0).astype(np.float32)
+        else:
+            reached = _bounds(documents, squares, some, metric)[1] >= floor
+        hits = np.flatnonzero(reached)
+        if len(hits) > 2 * k * len(some) + len(keys):
+            parts.append(best_of_batch(keys, documents, np.arange(start, start + len(some)), some, floor, k, metric))
+            continue
+        rows, columns = np.divmod(hits, len(some))
+        scores = np.empty(len(hits))
+        for at in range(0, len(hits), pairs):
+            scores[at : at + pairs] = _exact(documents[rows[at : at + pairs]], some[columns[at : at + pairs]], metric)
+        passing = scores >= floor[columns]
+        parts.append(pd.DataFrame({"query_id": columns[passing] + start, "key": keys[rows[passing]], "score": scores[passing]}))
+    return pd.concat(parts, ignore_index=True)
+
+
 def emit(kept: pd.DataFrame) -> pd.DataFrame:
     # An empty column has no text type of its own, and Arrow output needs one.
     return kept.assign(key=kept["key"].astype(object))
@@ -196,7 +226,7 @@ def _scan(vectors: DataFrame, rows: list, k: int, metric: str, result: StructTyp
                 found = best_of_batch(
                     same["key"].to_numpy(), _matrix(same["embedding"]), ids, matrix, floors, k, metric
                 )
-                kept = found if kept is None else _keep_best(pd.concat([kept, found]), k)
+                kept = found if kept is None else keep_best(pd.concat([kept, found]), k)
         if kept is not None:
             yield emit(kept)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorecairn.functions import vectors
-from lorecairn.operators import nearest
+from lorecairn.operators import cells, nearest
 from lorecairn.sources import derived
 
 
@@ -188,3 +188,37 @@ def test_native_scoring_agrees_with_the_matrix_way(spark, folder):
     )
     got = nearest.nearest(docs, asked).orderBy("rank").select("key", F.round("score", 6).alias("score"))
     assert got.collect() == native.collect()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("visits", [0, 10**9])
+def test_visits_and_scans_give_the_same(spark, monkeypatch, metric, visits):
+    """Requests with and without a bar, copies, no length and a null id, in several scans, against plain sums."""
+    monkeypatch.setattr(cells, "VISITS", visits)
+    monkeypatch.setattr(cells, "SCAN_VALUES", 12 * 7)
+    monkeypatch.setattr(cells, "SCORES", 40)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(120, 12)).astype(np.float32)
+    points[40:60], points[60] = points[3], 0
+    docs = spark.createDataFrame([(f"k{i:03d}", p.tolist()) for i, p in enumerate(points)], "key string, embedding array<float>")
+    asked = spark.createDataFrame(
+        [(2**60 + i, points[i * 3 + 2].tolist(), 1 + i % 4, [None, 0.1, -1.5, 5.0][i % 4]) for i in range(30)] + [(None, points[0].tolist(), 2, None)],
+        "query_id long, vector array<float>, max_results int, min_score double",
+    )
+    got = nearest.nearest(docs, asked, metric, 0)
+    assert shown(got) == brute(docs.collect(), [q for q in asked.collect() if q["query_id"]], metric)
+
+
+def test_a_request_does_not_visit_most_cells(spark, monkeypatch):
+    """Vectors without structure: the triangle inequality rules out next to nothing."""
+    sent = []
+    visited = cells._visited
+    monkeypatch.setattr(cells, "_visited", lambda placed, visits, *a: sent.append(visits.count()) or visited(placed, visits, *a))
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(400, 32)).astype(np.float32)
+    docs = spark.createDataFrame([(f"k{i:03d}", p.tolist()) for i, p in enumerate(points)], "key string, embedding array<float>")
+    asked = spark.createDataFrame([(i, p.tolist(), 3, 0.0) for i, p in enumerate(points[:60])], "query_id long, vector array<float>, max_results int, min_score double")
+    got = nearest.nearest(docs, asked, "cosine", 0)
+    assert shown(got) == brute(docs.collect(), asked.collect(), "cosine")
+    # All 400 cells were visited by each, with its vector.
+    assert sum(sent) <= 60 * (1 + 6 + cells.VISITS)
